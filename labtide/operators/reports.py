@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labtide.operators import detectors, layout as sizing, long_series, series, signals
+from labtide.operators import detectors, layout as sizing, long_series, points, series, signals
 from labtide.operators.normalise import readings as to_readings
 from labtide.options import Options
 
@@ -38,7 +38,7 @@ def facts(
         df = df.unionByName(
             long_series.long_facts(rows, demographics, plan, options), allowMissingColumns=True
         )
-    return detectors.with_rcv(detectors.with_control_limits(df))
+    return detectors.with_rcv(detectors.with_control_limits(detectors.with_trend_statistics(df)))
 
 
 def reports(
@@ -48,4 +48,47 @@ def reports(
     plan: sizing.Layout | None = None,
 ) -> DataFrame:
     """Facts plus ranked signals, skipped rules and status."""
-    return signals.with_signals(facts(observations, demographics, options, plan), options.window_days)
+    computed = facts(observations, demographics, options, plan)
+    return signals.with_signals(computed, options.window_days).withColumn(
+        "window_days", F.lit(options.window_days)
+    )
+
+
+def all_points(
+    observations: DataFrame,
+    demographics: DataFrame | None = None,
+    options: Options = Options(),
+    plan: sizing.Layout | None = None,
+) -> DataFrame:
+    """One row per analysed point of every series, with the limits that apply to it."""
+    plan = plan or sizing.measure(to_readings(observations))
+    return points.point_rows(facts(observations, demographics, options, plan))
+
+
+def nested(reports_: DataFrame) -> DataFrame:
+    """The report as one nested row per series. Points stay a table of their own (``all_points``),
+    so that no series has to fit in one row; the last twelve are kept."""
+
+    def part(present, **fields):
+        return F.when(present, F.struct(*[F.col(c).alias(n) for n, c in fields.items()]))
+
+    has = lambda c: F.col(c).isNotNull()
+    return reports_.select(
+        "patient_id", "code", "derived", "unit", "as_of", "window_days", "n",
+        part(has("analyte"), code="analyte", loinc="loinc", display="display", cvi="cvi", cva="cva",
+             cvi_source="cvi_source", cva_source="cva_source").alias("analyte"),
+        part(has("latest_t"), t="latest_t", v="latest_v").alias("latest"),
+        F.struct("after_as_of", "unit_unknown").alias("excluded"),
+        part(has("pop_low"), low="pop_low", high="pop_high", source="pop_source").alias("population"),
+        "thresholds",
+        part(has("base_n"), n="base_n", **{"from": "base_from"}, to="base_to", set_point="set_point",
+             prri_low="prri_low", prri_high="prri_high").alias("baseline"),
+        part(has("rcv_up"), up="rcv_up", down="rcv_down").alias("rcv"),
+        part(has("ewma_value"), value="ewma_value", low="ewma_low", high="ewma_high").alias("ewma"),
+        part(has("cp_t"), t="cp_t", detected_t="cp_detected_t", before="set_point", after="cp_after",
+             change="cp_change").alias("change_point"),
+        part(F.col("trend_done"), n="trend_n", **{"from": "trend_from"}, slope_per_day="sen_slope",
+             ci_low_per_day="sen_low", ci_high_per_day="sen_high", change_per_year="change_per_year", tau="mk_tau",
+             p_value="mk_p", direction="direction").alias("trend"),
+        "recent", "signals", "not_assessed", "status",
+    )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labtide.functions.profiles import SEVERITY_RANK
 from labtide.functions.stats import DAYS_PER_YEAR, Z95, Z99, rcv_down, rcv_up
 from labtide.functions.text import display_unit, fixed, iso_date, p_value, pct, signed_pct, text, value
 from labtide.operators.series import NO_ADULT_RESULTS, NO_DEMOGRAPHICS, SEX_NOT_BINARY
@@ -291,29 +292,32 @@ def not_assessed(window_days: int) -> Column:
     return F.sort_array(F.array_compact(F.array(*skips)))
 
 
-def with_signals(facts: DataFrame, window_days: int) -> DataFrame:
-    """Signals worst first (stable on emission order), skipped rules, rank and status."""
-    ranked = F.sort_array(
-        F.array_compact(
-            F.array(
-                prri(), shift(), ewma(), rcv(), population(), threshold("above"), threshold("below"), trend()
-            )
-        )
+@cache
+def _steps(window_days: int) -> list[dict[str, Column]]:
+    ranked = F.array(
+        prri(), shift(), ewma(), rcv(), population(), threshold("above"), threshold("below"), trend()
     )
     rank = F.when(F.size("signals") > 0, F.get("signals", F.lit(0)).sev_rank).otherwise(0)
-    return (
-        facts.withColumn("hit_above", _crossed("above"))
-        .withColumn("hit_below", _crossed("below"))
-        .withColumn("signals", ranked)
-        .withColumn("not_assessed", not_assessed(window_days))
-        .withColumn("status_rank", rank)
-        .withColumn(
-            "status",
-            F.when(F.col("status_rank") == SEVERITY_RANK["alert"], "alert")
-            .when(F.col("status_rank") == SEVERITY_RANK["watch"], "watch")
-            .otherwise("normal"),
-        )
-    )
+    return [
+        {"hit_above": _crossed("above"), "hit_below": _crossed("below")},
+        {
+            "signals": F.sort_array(F.array_compact(ranked)),
+            "not_assessed": not_assessed(window_days),
+        },
+        {"status_rank": rank},
+        {"status": status_name(F.col("status_rank"))},
+    ]
+
+
+def status_name(rank: Column) -> Column:
+    return F.when(rank == 2, "alert").when(rank == 1, "watch").otherwise("normal")
+
+
+def with_signals(facts: DataFrame, window_days: int) -> DataFrame:
+    """Signals worst first (stable on emission order), skipped rules, rank and status."""
+    for step in _steps(window_days):
+        facts = facts.withColumns(step)
+    return facts
 
 
 def explode_signals(reports: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labtide.functions.stats import DAYS_PER_YEAR, EPSILON, TREND_ALPHA, TREND_MIN, Z95, two_sided_p
@@ -49,24 +49,24 @@ def ci_rank(n: Column, var_s: Column, side: int) -> Column:
     return F.greatest(F.least(F.round(raw), n.cast("double")), F.lit(1.0)).cast("long")
 
 
-def with_trend_statistics(df: DataFrame) -> DataFrame:
-    """p-value, tau, yearly change and direction from S, its variance and the Sen slope."""
+def trend_statistics() -> list[dict[str, Column]]:
+    """Columns from S, its variance and the Sen slope, step by step."""
     n, s, var = F.col("trend_n").cast("double"), F.col("mk_s"), F.col("mk_var")
     z = F.when((s == 0) | (var <= 0), 0.0).otherwise((s - F.signum(s)) / F.sqrt(var))
-    done = (F.col("trend_n") >= TREND_MIN) & (F.col("sen_n") > 0)
+    done = F.col("trend_done")
     yearly = F.when(F.abs("trend_median") > EPSILON, F.col("sen_slope") * DAYS_PER_YEAR / F.col("trend_median"))
     steep = F.col("mk_p") < TREND_ALPHA
-    return (
-        df.withColumn("trend_done", F.coalesce(done, F.lit(False)))
-        .withColumn("mk_z", F.when(F.col("trend_done"), z))
-        .withColumn("mk_p", two_sided_p(F.col("mk_z")))
-        .withColumn("mk_tau", F.when(F.col("trend_done"), s / (n * (n - 1.0) / 2.0)))
-        .withColumn("change_per_year", F.when(F.col("trend_done"), F.coalesce(yearly, F.lit(0.0))))
-        .withColumn(
-            "direction",
-            F.when(
-                F.col("trend_done"),
-                F.when(steep & (s > 0), "rising").when(steep & (s < 0), "falling").otherwise("flat"),
-            ),
-        )
-    )
+    return [
+        {"trend_done": F.coalesce((F.col("trend_n") >= TREND_MIN) & (F.col("sen_n") > 0), F.lit(False))},
+        {
+            "mk_z": F.when(done, z),
+            "mk_tau": F.when(done, s / (n * (n - 1.0) / 2.0)),
+            "change_per_year": F.when(done, F.coalesce(yearly, F.lit(0.0))),
+        },
+        {"mk_p": two_sided_p(F.col("mk_z"))},
+        {
+            "direction": F.when(
+                done, F.when(steep & (s > 0), "rising").when(steep & (s < 0), "falling").otherwise("flat")
+            )
+        },
+    ]

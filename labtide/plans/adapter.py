@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labtide.operators.barrier import settled
 from labtide.session import configure
 
 EPOCH_2024 = 1_704_067_200
@@ -25,7 +26,7 @@ def lab_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts) - {EPOCH_2024}L")
     base = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (spans * 30).alias("s"))
     day = "(CAST(s AS DOUBLE) / 86400D)"
-    return (
+    rows = (
         base.withColumn(
             "code",
             F.expr(
@@ -90,6 +91,7 @@ def lab_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.expr(f"{EPOCH_2022}L + s").alias("t"),
         )
     )
+    return settled(rows)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
