@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labtide.operators.normalise import SERIES
+from labtide.operators.pair_counts import BLOCK_ROWS
+from labtide.operators.segments import SEGMENT_ROWS
 
 LONG_SERIES = 512
 HOT_PATIENT_ROWS = 2_000_000
@@ -23,12 +25,17 @@ BROADCAST_KEYS = 20_000
 
 @dataclass(frozen=True)
 class Layout:
-    """``long_keys`` is null when no series is long; ``broadcastable`` says its size was checked."""
+    """``long_keys`` is null when no series is long; ``broadcastable`` says its size was checked.
+
+    ``segment_rows`` and ``block_rows`` bound what one task holds on the segmented path.
+    """
 
     long_keys: DataFrame | None = None
     long_rows: int = 0
     broadcastable: bool = True
     by_patient: bool = True
+    segment_rows: int = SEGMENT_ROWS
+    block_rows: int = BLOCK_ROWS
 
     def _keys(self) -> DataFrame:
         return F.broadcast(self.long_keys) if self.broadcastable else self.long_keys
