@@ -302,9 +302,16 @@ def signal(rule: str) -> str:
     )
 
 
+def _re2(pattern: str) -> str:
+    """The same pattern with Unicode letters and digits spelled out, for an engine whose
+    classes and word boundaries are ASCII."""
+    word = r"\p{L}\p{M}\p{N}_"
+    pattern = pattern.replace("(?i)", "").replace(r"\b\d", rf"(?:^|[^{word}])\d").replace(r"\b(", rf"(?:^|[^{word}])(")
+    return pattern.replace(r"\b", rf"(?:$|[^{word}])").replace(r"\w", word).replace(r"\d", r"\p{Nd}")
+
+
 _IDENTIFIER_CASE = " ".join(
-    f"WHEN regexp_matches(text, {_s(p.replace('(?i)', '').replace(chr(92) + 'w', '[0-9A-Za-z_]'))}"
-    f"{', ' + _s('i') if p.startswith('(?i)') else ''}) THEN {_s(what)}"
+    f"WHEN regexp_matches(text, {_s(_re2(p))}{', ' + _s('i') if p.startswith('(?i)') else ''}) THEN {_s(what)}"
     for what, p in IDENTIFIERS
 )
 _BOUND_CASE = lambda i: "CASE code " + " ".join(f"WHEN '{c}' THEN {_s(b[i])}" for c, b in BOUNDS.items()) + " END"
