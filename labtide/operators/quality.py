@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labtide.operators.layout import Layout
 from labtide.operators.normalise import SERIES
+from labtide.operators.segments import weighted_median
 
 # Plausible bounds per analyte.
 BOUNDS = {"HBA1C": (4.0, 15.0), "LDL": (20.0, 400.0), "CREAT": (0.3, 15.0), "TSH": (0.01, 100.0)}
@@ -23,14 +25,16 @@ def dedupe(rows: DataFrame) -> DataFrame:
     )
 
 
-def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median per key from counts of equal values: a running count over distinct values, so a
-    value repeated many times is one row. ``rows`` hold one number per result."""
+def exact_median(rows: DataFrame, keys: list[str], value: str, plan: Layout = Layout()) -> DataFrame:
+    """Median per key, from counts of equal values. A key too long for one buffer of distinct
+    values goes through segments instead."""
     counts = rows.groupBy(*keys, F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    if plan.long_keys is not None:
+        return weighted_median(counts, keys, "x", counts.count(), plan.segment_rows)
     return counts.groupBy(*keys).agg(F.expr("percentile(x, 0.5D, c)").alias("median"))
 
 
-def plausibility(points: DataFrame) -> DataFrame:
+def plausibility(points: DataFrame, plan: Layout = Layout()) -> DataFrame:
     """First rule each series breaks, null when it is plausible.
 
     ``points`` hold deduplicated (patient_id, code, v) in canonical units, with the
@@ -50,7 +54,7 @@ def plausibility(points: DataFrame) -> DataFrame:
     )
     kidney = points.where(F.col("code").isin("CREAT", "EGFR"))
     medians = (
-        exact_median(kidney, SERIES, "v")
+        exact_median(kidney, SERIES, "v", plan)
         .groupBy("patient_id")
         .agg(
             F.max(F.when(F.col("code") == "CREAT", F.col("median"))).alias("creat_median"),

@@ -26,10 +26,21 @@ def new_results(batch: DataFrame, stored: DataFrame, sequence: str = "seq") -> D
 
 def insert_counts(batch: DataFrame, inserted: DataFrame) -> DataFrame:
     """Submitted, inserted and duplicate row counts."""
-    totals = batch.agg(F.count(F.lit(1)).alias("submitted")).join(
-        inserted.agg(F.count(F.lit(1)).alias("inserted")), how="cross"
+    return _counts(submitted=batch, inserted=inserted).select(
+        "submitted", "inserted", (F.col("submitted") - F.col("inserted")).alias("duplicates")
     )
-    return totals.withColumn("duplicates", F.col("submitted") - F.col("inserted"))
+
+
+def _counts(**frames: DataFrame) -> DataFrame:
+    """One row with the size of each frame: a union of one-row counts, then a sum."""
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("n")).select(*[(F.col("n") if k == name else F.lit(0)).alias(k) for k in frames])
+        for name, df in frames.items()
+    ]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union.agg(*[F.sum(k).alias(k) for k in frames])
 
 
 def upsert_demographics(stored: DataFrame, batch: DataFrame, sequence: str = "seq") -> DataFrame:
@@ -47,18 +58,16 @@ def upsert_demographics(stored: DataFrame, batch: DataFrame, sequence: str = "se
 
 
 def upload_summary(batch: DataFrame, inserted: DataFrame, skipped: DataFrame, patients: DataFrame) -> DataFrame:
-    """One row for a whole upload. Codes are combined per task, then listed (a catalogue, not rows)."""
-    submitted = batch.groupBy("code", "patient_id").agg(F.count(F.lit(1)).alias("n"))
-    shape = submitted.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("submitted"),
-        F.count_distinct("patient_id").alias("patients"),
-        F.array_join(F.sort_array(F.collect_set("code")), ",").alias("biomarkers"),
-    )
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    """One row for a whole upload. Codes are a catalogue, so their list is bounded."""
+    people = batch.select("patient_id").distinct()
+    counts = _counts(submitted=batch, inserted=inserted, skipped=skipped, patients=people, demographics=patients)
+    codes = batch.select("code").distinct().agg(F.array_join(F.sort_array(F.collect_list("code")), ",").alias("biomarkers"))
+    numbers = counts.columns
+    none = F.lit(None).cast("string").alias("biomarkers")
     return (
-        shape.join(count(inserted, "inserted"), how="cross")
-        .join(count(skipped, "skipped"), how="cross")
-        .join(count(patients, "demographics"), how="cross")
+        counts.select(*numbers, none)
+        .unionByName(codes.select(*[F.lit(0).cast("long").alias(c) for c in numbers], "biomarkers"))
+        .agg(*[F.sum(c).alias(c) for c in numbers], F.max("biomarkers").alias("biomarkers"))
         .select(
             "inserted", (F.col("submitted") - F.col("inserted")).alias("duplicates"), "skipped", "patients",
             "biomarkers", "demographics",

@@ -258,7 +258,7 @@ def dedupe_results(spark, sf_dir):
 
 
 def plausibility(spark, sf_dir):
-    return quality.plausibility(_points(spark, sf_dir).select("patient_id", "code", "v"))
+    return quality.plausibility(_points(spark, sf_dir).select("patient_id", "code", "v"), _plan(spark, sf_dir))
 
 
 def series_as_recorded(spark, sf_dir):
