@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labtide.operators.barrier import settled
 from labtide.operators.review import fold
 from labtide.operators.signals import status_name
 
@@ -51,8 +52,13 @@ def triage(reports: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def ranked(triaged: DataFrame) -> DataFrame:
-    """Worst first; a range-partitioned sort, so no task sees the whole cohort."""
-    return triaged.orderBy(
+    """Worst first; a range-partitioned sort, so no task sees the whole cohort.
+
+    The sort samples its input first. The exchange of these few columns keeps that
+    sample from running the whole analysis a second time; it is on two columns, because
+    one on the patient alone is already satisfied and would be planned away.
+    """
+    return settled(triaged.repartition("patient_id", "status")).orderBy(
         F.desc_nulls_last("top_rank"), F.desc("unreviewed"), F.desc("status_rank"), F.desc("alerts"),
         F.desc("watches"), "patient_id",
     )

@@ -13,7 +13,7 @@ from labtide.functions.text import iso_instant
 from labtide.operators import (
     layout, narrative, normalise, points, quality, reports, review, signals, tables, triage,
 )
-from labtide.operators.barrier import settled
+from labtide.operators.barrier import settled, spread
 from labtide.options import Options
 from labtide.plans import adapter
 from labtide.schemas import OBSERVATION_COLUMNS
@@ -166,13 +166,15 @@ def _fhir_resources(spark, sf_dir) -> DataFrame:
     )
     json = F.when(k == 8, F.replace(F.to_json(body), F.lit('"final"'), F.lit("5"))).otherwise(F.to_json(body))
     json = F.when(k == 8, F.replace(json, F.lit('"amended"'), F.lit("5"))).otherwise(json)
-    return adapter.lab_events(spark, sf_dir).select(
+    lines = spread(adapter.lab_events(spark, sf_dir)).select(
         F.lit("events").alias("file"), F.col("event_id").alias("position"), F.try_parse_json(json).alias("resource")
     )
+    return settled(lines)
 
 
 def _fhir_checked(spark, sf_dir):
-    return settled(fhir.profiled_only(fhir.checked_observations(_fhir_resources(spark, sf_dir))))
+    checked = fhir.profiled_only(fhir.checked_observations(_fhir_resources(spark, sf_dir)))
+    return settled(checked)
 
 
 def fhir_skip_reasons(spark, sf_dir):
@@ -448,7 +450,7 @@ def review_snapshots(spark, sf_dir):
 
 
 def identifier_screen(spark, sf_dir):
-    rows = adapter.table(spark, sf_dir, "documents")
+    rows = spread(adapter.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", review.identifier(F.col("text")).alias("found"))
 
 

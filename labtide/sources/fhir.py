@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labtide.operators.barrier import settled
 from labtide.operators.normalise import with_analyte
 from labtide.schemas import OBSERVATION_COLUMNS
 
@@ -77,11 +78,15 @@ def resources(docs: DataFrame) -> DataFrame:
 
 def ndjson_resources(spark: SparkSession, path: str) -> DataFrame:
     """Bulk export: one resource per line; files split across tasks."""
-    return (
-        spark.read.text(path)
-        .where(F.trim("value") != "")
-        .select(
-            F.col("_metadata.file_path").alias("file"),
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return parsed_lines(lines)
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """Resources of (file, value) lines, each parsed once."""
+    return settled(
+        lines.where(F.trim("value") != "").select(
+            "file",
             F.monotonically_increasing_id().alias("position"),
             F.try_parse_json("value").alias("resource"),
         )

@@ -81,10 +81,7 @@ def run_fhir(spark: SparkSession, folder: str, store: Store, checkpoint: str, op
     """The same for FHIR resources; a Patient seen again corrects that patient's derived series."""
 
     def batch(df: DataFrame, number: int) -> None:
-        resources = df.where(F.trim("value") != "").select(
-            "file", F.monotonically_increasing_id().alias("position"), F.try_parse_json("value").alias("resource")
-        )
-        accepted, skipped, patients = fhir.split(resources)
+        accepted, skipped, patients = fhir.split(fhir.parsed_lines(df))
         skipped.write.mode("overwrite").parquet(f"{store.rejects}/feed=fhir/batch={number}")
         people = patients.select(
             *DEMOGRAPHICS.names, F.struct("file", "position").alias("seq")
