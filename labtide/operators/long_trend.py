@@ -9,8 +9,11 @@ round of candidates is one Spark job, with four small rows per series between ro
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +27,8 @@ from labtide.session import checkpointed
 KEYS = ["patient_id", "code", "derived"]
 FANOUT = 8
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def long_trend(indexed: DataFrame, series: DataFrame, window_days: int, rows: int, small_keys: bool,
                segment_rows: int = SEGMENT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -150,7 +155,7 @@ def _order_statistics(points: DataFrame, shape: DataFrame, longest: int, rows: i
         moved = points.join(tried.select(*KEYS, "s").distinct(), KEYS).select(
             *KEYS, "s", "pos", (F.col("y") - F.col("s") * F.col("x")).alias("w")
         )
-        counted = pair_counts(moved, [*KEYS, "s"], longest, rows * 2 * FANOUT, block_rows)
+        counted = pair_counts(moved, [*KEYS, "s"], longest, rows * 2 * FANOUT, block_rows, falling=False)
         reached = F.col("base") - F.col("rising") >= F.col("rank")
         narrowed = (
             tried.join(counted, [*KEYS, "s"])
@@ -171,7 +176,7 @@ def _order_statistics(points: DataFrame, shape: DataFrame, longest: int, rows: i
 
 def _settled() -> Column:
     """The bracket is as narrow as the arithmetic of y - s*x can tell apart."""
-    return F.col("hi") - F.col("lo") <= F.greatest(F.abs("lo"), F.abs("hi")) * 4e-14 + 1e-18
+    return F.col("hi") - F.col("lo") <= F.greatest(F.abs("lo"), F.abs("hi")) * 1e-12 + 1e-18
 
 
 def _candidates() -> Column:

@@ -133,9 +133,9 @@ def test_segmented_points_equal_the_array_points(cohort):
 
 
 def test_a_window_of_many_blocks_is_searched_in_rounds(spark):
-    values = [5 + 0.01 * i + 0.4 * (w - 1) for i, w in enumerate(noise(9, 90, 1.0))]
+    values = [5 + 0.01 * i + 0.4 * (w - 1) for i, w in enumerate(noise(9, 60, 1.0))]
     obs = observations(spark, weekly("h", "LDL", values, "mg/dL"))
-    plan = dataclasses.replace(layout.measure(normalise.readings(obs), limit=6), block_rows=45)
+    plan = dataclasses.replace(layout.measure(normalise.readings(obs), limit=6), block_rows=40)
     row = reports.facts(obs, None, Options(window_days=3650), plan).first()
     t = [START_T + i * 7 * DAY for i in range(len(values))]
     s, slopes = theil_sen(t, values)
