@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from labtide.operators.normalise import SERIES
 from labtide.operators.pair_counts import BLOCK_ROWS
 from labtide.operators.segments import SEGMENT_ROWS
+from labtide.session import checkpointed
 
 LONG_SERIES = 512
 HOT_PATIENT_ROWS = 2_000_000
@@ -65,7 +66,8 @@ def measure(rows: DataFrame, limit: int = LONG_SERIES) -> Layout:
     if not top[1]:
         return Layout(by_patient=by_patient)
     return Layout(
-        long_keys=sizes.where(is_long).select(*SERIES),
+        # used several times: keep the list, not the count behind it
+        long_keys=checkpointed(sizes.where(is_long).select(*SERIES)),
         long_rows=int(top[2]),
         broadcastable=top[1] <= BROADCAST_KEYS,
         by_patient=by_patient,

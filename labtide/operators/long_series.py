@@ -116,6 +116,16 @@ class LongSeries:
 
     def facts(self) -> DataFrame:
         """The columns ``reports.short_facts`` gives, one row per long series."""
+        base = checkpointed(self.baselines())
+        charted = base.join(self._change_points(base), KEYS, "left").join(self._ewma(base), KEYS, "left")
+        trended = long_trend(
+            self.points, self.shape, self.options.window_days, self.rows, self.plan.broadcastable,
+            self.plan.segment_rows, self.plan.block_rows,
+        )
+        return charted.join(trended, KEYS, "left").withColumn("trend_n", F.coalesce("trend_n", F.lit(0)))
+
+    def baselines(self) -> DataFrame:
+        """Ends, unit and personal baseline of each series, from its first and last results."""
         ends = self.points.where((F.col("idx") <= BASELINE_MAX) | (F.col("idx") >= F.col("n") - detectors.RECENT))
         pick = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.struct("t", "v"))))
         edges = ends.groupBy(*KEYS).agg(
@@ -134,14 +144,7 @@ class LongSeries:
             .withColumn("unit_unknown", (F.col("in_range") - F.col("n")).cast("int"))
         )
         df = short.with_profile(df).withColumn("unit", F.coalesce("canonical_unit", "last_unit", F.lit("")))
-        base = checkpointed(detectors.with_baseline(detectors.with_ends(df)))
-        charted = base.join(self._change_points(base), KEYS, "left").join(self._ewma(base), KEYS, "left")
-        trended = long_trend(
-            self.points, self.shape, self.options.window_days, self.rows, self.plan.broadcastable,
-            self.plan.segment_rows, self.plan.block_rows,
-        )
-        joined = charted.join(trended, KEYS, "left").withColumn("trend_n", F.coalesce("trend_n", F.lit(0)))
-        return joined.drop("in_range", "last_unit")
+        return detectors.with_baseline(detectors.with_ends(df)).drop("in_range", "last_unit")
 
     def _standardised(self, base: DataFrame) -> DataFrame:
         wanted = base.where("base_n IS NOT NULL").select(*KEYS, "base_n", "base_mean", "sigma")

@@ -31,21 +31,13 @@ def facts(
 ) -> DataFrame:
     """One row per series with every detector's numbers. Long series leave ``points`` null: their
     points stay in long form (``points.point_rows``)."""
-    return _facts(to_readings(observations), demographics, options, plan)[0]
-
-
-def _facts(readings: DataFrame, demographics, options: Options, plan: sizing.Layout | None):
-    """Facts of all series, and the segmented series when there are any."""
-    plan = plan or sizing.measure(readings)
-    df, segmented = short_facts(readings, demographics, plan, options), None
+    rows = to_readings(observations)
+    plan = plan or sizing.measure(rows)
+    df = short_facts(rows, demographics, plan, options)
     if plan.long_keys is not None:
-        segmented = long_series.LongSeries(readings, demographics, plan, options)
+        segmented = long_series.LongSeries(rows, demographics, plan, options)
         df = df.unionByName(segmented.facts(), allowMissingColumns=True)
-    return finished(df), segmented
-
-
-def finished(df: DataFrame) -> DataFrame:
-    """The steps both paths share, on one row per series."""
+    # the steps both paths share, on one row per series
     return detectors.with_rcv(detectors.with_control_limits(detectors.with_trend_statistics(df)))
 
 
@@ -69,8 +61,14 @@ def all_points(
     plan: sizing.Layout | None = None,
 ) -> DataFrame:
     """One row per analysed point of every series, with the limits that apply to it."""
-    computed, segmented = _facts(to_readings(observations), demographics, options, plan)
-    return points.point_rows(computed, long_rows=segmented.point_rows() if segmented else None)
+    rows = to_readings(observations)
+    plan = plan or sizing.measure(rows)
+    computed, long_rows = short_facts(rows, demographics, plan, options), None
+    if plan.long_keys is not None:
+        segmented = long_series.LongSeries(rows, demographics, plan, options)
+        computed = computed.unionByName(segmented.baselines(), allowMissingColumns=True)
+        long_rows = segmented.point_rows()
+    return points.point_rows(detectors.with_rcv(computed), long_rows=long_rows)
 
 
 def nested(reports_: DataFrame) -> DataFrame:

@@ -109,9 +109,12 @@ def patient_codes(observations: DataFrame) -> DataFrame:
 
 
 def append_results(spark, path: str, batch: DataFrame, sequence: str = "seq") -> None:
-    """Append the new results of a batch to the stored parquet table, one folder per code."""
+    """Append the new results of a batch to the stored parquet table, one folder per code.
+
+    Rebalancing gathers each code into few files and splits a code that holds much of the batch.
+    """
     stored = read_results(spark, path)
-    new_results(batch, stored, sequence).write.mode("append").partitionBy("code").parquet(path)
+    new_results(batch, stored, sequence).hint("rebalance", "code").write.mode("append").partitionBy("code").parquet(path)
 
 
 def read_results(spark, path: str) -> DataFrame:

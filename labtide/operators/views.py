@@ -80,4 +80,4 @@ def as_json(nested: DataFrame) -> DataFrame:
 
 def write_reports(computed: DataFrame, path: str) -> None:
     """Nested reports as parquet, one folder per code."""
-    reports.nested(computed).write.mode("overwrite").partitionBy("code").parquet(path)
+    reports.nested(computed).hint("rebalance", "code").write.mode("overwrite").partitionBy("code").parquet(path)
