@@ -23,23 +23,23 @@ def explain_context(reports: DataFrame, as_of_requested: bool = False) -> DataFr
             profiled, text("Analyte: ", F.col("display"), " (LOINC ", F.col("loinc"), "), unit ", unit)
         ).otherwise(text("Analyte: ", F.col("code"), " (no analyte profile), unit ", unit)),
         text(
-            "Analysis as of ", F.coalesce(iso_date(F.col("as_of")), F.lit("latest result")), "; trend window ",
+            "As of ", F.coalesce(iso_date(F.col("as_of")), F.lit("the latest result")), ", trends over ",
             F.col("window_days").cast("string"), " days.",
         ),
         text("Computed status (authoritative): ", F.upper("status")),
         text("Latest result: ", value(F.col("latest_v")), " ", unit, " on ", iso_date(F.col("latest_t"))),
         text(
-            "Personal baseline: set point ", value(F.col("set_point")), " ", unit, " from ",
+            "Own baseline: set point ", value(F.col("set_point")), " ", unit, " from ",
             F.col("base_n").cast("string"), " results ", iso_date(F.col("base_from")), " to ",
             iso_date(F.col("base_to")), "; personal reference interval ", value(F.col("prri_low")), "–",
-            value(F.col("prri_high")), " ", unit, " (95 % prediction interval)",
+            value(F.col("prri_high")), " ", unit, " at 95 %",
         ),
         text(
-            "Within-subject biological variation (CVI) ", pct(F.col("cvi")), "; analytical imprecision (CVA) ",
-            pct(F.col("cva")), " (assumed).",
+            "Variation: within-subject CVI ", pct(F.col("cvi")), ", assumed analytical CVA ",
+            pct(F.col("cva")), ".",
         ),
         text(
-            "Population reference interval: ", value(F.col("pop_low")), "–", value(F.col("pop_high")), " ", unit,
+            "Population interval: ", value(F.col("pop_low")), "–", value(F.col("pop_high")), " ", unit,
             " (", F.col("pop_source"), ")",
         ),
         _lines(
@@ -50,17 +50,17 @@ def explain_context(reports: DataFrame, as_of_requested: bool = False) -> DataFr
             ),
         ),
         F.when(F.size("signals") == 0, "Signals: none — no rule fired (this does not mean healthy).").otherwise(
-            "Signals (computed, authoritative — do not re-grade):"
+            "Computed signals, not to be re-graded:"
         ),
         _lines(
             "signals",
             lambda s: text("- [", F.upper(s.severity), "] ", s.rule, ": ", s.explanation, " (source: ", s.source, ")"),
         ),
-        _lines("not_assessed", lambda s: text("Not assessed — ", s.rule, ": ", s.reason)),
+        _lines("not_assessed", lambda s: text("Skipped ", s.rule, ": ", s.reason)),
         F.when(
             F.col("trend_done"),
             text(
-                "Trend: ", F.col("direction"), " (", signed_pct(F.col("change_per_year")), " per year), Mann–Kendall p = ",
+                "Trend ", F.col("direction"), ", ", signed_pct(F.col("change_per_year")), " a year, p = ",
                 fixed(F.col("mk_p"), 3),
             ),
         ),

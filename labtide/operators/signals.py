@@ -233,12 +233,12 @@ def not_assessed(window_days: int) -> Column:
     no_profile = F.col("analyte").isNull()
     profiled = ~empty & ~no_profile
     short = profiled & ~F.col("non_positive") & F.col("base_n").isNull()
-    nothing = "no results on or before the as-of date"
-    unknown = text("no analyte profile (biological variation, limits) for code ", F.col("code"))
+    nothing = "nothing to assess on or before the as-of date"
+    unknown = text("no biological variation or limits are known for code ", F.col("code"))
     few = text(
         "needs ≥ 3 earlier results for a personal set point (has ", (F.col("n") - 1).cast("string"), ")"
     )
-    log_scale = "non-positive values have no log scale"
+    log_scale = "values at or below zero have no log scale"
     skips = []
     for seq, rule in enumerate(("prri", "rcv", "shift", "ewma"), start=1):
         why = (
@@ -256,7 +256,7 @@ def not_assessed(window_days: int) -> Column:
             "threshold",
             6,
             F.when(empty, nothing).when(no_profile, unknown).otherwise(
-                "the analyte profile has no clinical decision thresholds"
+                "this analyte has no clinical thresholds"
             ),
             F.col("creat_note").isNull() & (empty | no_profile | (F.size("thresholds") == 0)),
         )
@@ -266,7 +266,7 @@ def not_assessed(window_days: int) -> Column:
             "population",
             7,
             F.when(empty, nothing).when(no_profile, unknown).otherwise(
-                "no single population interval for this analyte; the clinical thresholds apply"
+                "this analyte has no single population interval"
             ),
             empty | no_profile | F.col("pop_low").isNull(),
         )
@@ -284,10 +284,10 @@ def not_assessed(window_days: int) -> Column:
         )
     )
     note = F.when(
-        F.col("creat_note") == "derived", "kidney-function categories (KDIGO) are assessed on the derived eGFR series"
+        F.col("creat_note") == "derived", "KDIGO categories are judged on the derived eGFR series"
     )
     for key, why in EGFR_REASONS.items():
-        note = note.when(F.col("creat_note") == key, f"kidney-function staging not assessed: {why}")
+        note = note.when(F.col("creat_note") == key, f"no kidney staging: {why}")
     skips.append(_skip("threshold", 9, note, F.col("creat_note").isNotNull()))
     return F.sort_array(F.array_compact(F.array(*skips)))
 

@@ -15,6 +15,23 @@ UCUM = "http://unitsofmeasure.org"
 ACCEPTED_STATUS = ["final", "amended", "corrected"]
 GENDERS = ["female", "male", "other", "unknown"]
 
+# Skip reasons, in the order they are checked.
+BAD_SHAPE = "not a valid Observation"
+BAD_STATUS = ("status ", " is not final/amended/corrected")
+NO_CODE = "no LOINC coding"
+NO_QUANTITY = "no valueQuantity (coded and component results are not imported)"
+NO_VALUE = "valueQuantity without a value"
+NO_UNIT = "valueQuantity without a unit"
+NO_TIME = "no effectiveDateTime"
+BAD_TIME = ("effectiveDateTime ", " is not a full date or a date-time with offset")
+NO_SUBJECT = "no subject reference"
+BAD_SUBJECT = ("subject ", " is not a Patient")
+NO_PROFILE = ("no analyte profile for LOINC ", "")
+
+
+def _around(parts: tuple[str, str], value: str) -> Column:
+    return F.concat(F.lit(parts[0]), F.col(value), F.lit(parts[1]))
+
 
 def _get(path: str, kind: str = "string", root: str = "resource") -> Column:
     return F.try_variant_get(F.col(root), f"$.{path}", kind)
@@ -175,24 +192,16 @@ def checked_observations(rows: DataFrame) -> DataFrame:
     taken_at = parse_fhir_time(F.col("raw_time"))
     patient = patient_reference(F.col("reference"))
     reason = (
-        F.when(~F.col("shape_ok"), "not a valid Observation")
-        .when(
-            ~F.col("status").isin(*ACCEPTED_STATUS),
-            F.concat(F.lit("status "), F.col("status"), F.lit(" is not final/amended/corrected")),
-        )
-        .when(F.col("code").isNull(), "no LOINC coding")
-        .when(~F.col("has_quantity"), "no valueQuantity (coded and component results are not imported)")
-        .when(~F.coalesce(F.abs("value") < float("inf"), F.lit(False)), "valueQuantity without a value")
-        .when(F.col("unit").isNull() | (F.trim("unit") == ""), "valueQuantity without a unit")
-        .when(F.col("raw_time").isNull(), "no effectiveDateTime")
-        .when(
-            taken_at.isNull(),
-            F.concat(
-                F.lit("effectiveDateTime "), F.col("raw_time"), F.lit(" is not a full date or a date-time with offset")
-            ),
-        )
-        .when(F.col("reference").isNull(), "no subject reference")
-        .when(patient.isNull(), F.concat(F.lit("subject "), F.col("reference"), F.lit(" is not a Patient")))
+        F.when(~F.col("shape_ok"), BAD_SHAPE)
+        .when(~F.col("status").isin(*ACCEPTED_STATUS), _around(BAD_STATUS, "status"))
+        .when(F.col("code").isNull(), NO_CODE)
+        .when(~F.col("has_quantity"), NO_QUANTITY)
+        .when(~F.coalesce(F.abs("value") < float("inf"), F.lit(False)), NO_VALUE)
+        .when(F.col("unit").isNull() | (F.trim("unit") == ""), NO_UNIT)
+        .when(F.col("raw_time").isNull(), NO_TIME)
+        .when(taken_at.isNull(), _around(BAD_TIME, "raw_time"))
+        .when(F.col("reference").isNull(), NO_SUBJECT)
+        .when(patient.isNull(), _around(BAD_SUBJECT, "reference"))
     )
     return picked.select(
         "file",
@@ -215,9 +224,7 @@ def profiled_only(checked: DataFrame) -> DataFrame:
         with_analyte(checked)
         .withColumn(
             "skip_reason",
-            F.when(no_profile, F.concat(F.lit("no analyte profile for LOINC "), F.col("code"))).otherwise(
-                F.col("skip_reason")
-            ),
+            F.when(no_profile, _around(NO_PROFILE, "code")).otherwise(F.col("skip_reason")),
         )
         .withColumn("code", F.coalesce("analyte", "code"))
         .drop("analyte")
