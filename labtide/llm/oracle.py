@@ -1,0 +1,90 @@
+"""DuckDB statements for the text queries that SQL can express over whole tables."""
+
+SPACED = r"[^\x20\x09-\x0D]+"
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _translate(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+OP1 = f"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{SPACED}')), 0)::BIGINT AS size,
+         md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS key
+  FROM documents
+), totals AS (
+  SELECT source, sum(size)::HUGEINT AS s FROM sized GROUP BY source
+), weighed AS (
+  SELECT source, s, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::HUGEINT AS w FROM totals
+), level AS (
+  -- a source is limited if even its share among those with no less room per weight exceeds its limit
+  SELECT a.source, a.s, a.w,
+         a.w * (3 * (SELECT sum(s) FROM totals) - 4 * coalesce(sum(b.s), 0))
+           > 4 * a.s * ((SELECT sum(w) FROM weighed) - coalesce(sum(b.w), 0)) AS limited
+  FROM weighed a LEFT JOIN weighed b ON b.s * a.w < a.s * b.w GROUP BY a.source, a.s, a.w
+), used AS (
+  SELECT coalesce(sum(s), 0) AS s, coalesce(sum(w), 0) AS w FROM level WHERE limited
+), goal AS (
+  SELECT source, s AS source_size,
+         CASE WHEN limited THEN (2 * s)::DOUBLE
+              ELSE (level.w * (3 * (SELECT sum(s) FROM totals) - 4 * (SELECT s FROM used)))::DOUBLE
+                   / (2 * ((SELECT sum(w) FROM weighed) - (SELECT w FROM used)))::DOUBLE END AS target
+  FROM level
+), placed AS (
+  SELECT d.doc_id, d.size, g.source_size::BIGINT AS source_size, g.target, floor(g.target)::BIGINT AS budget,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
+), passed AS (
+  SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS passes FROM placed
+)
+SELECT doc_id, size, source_size, target,
+       (passes * size + greatest(0, least(size, budget - passes * source_size - before)))::BIGINT AS taken
+FROM passed
+"""
+
+OP6 = f"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), keyed AS (
+  SELECT doc_id, pos, line, {_translate(f"trim(line, {SPACES})")} AS key FROM split
+), frequent AS (
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+), marked AS (
+  SELECT k.*, f.key IS NOT NULL AS gone FROM keyed k LEFT JOIN frequent f ON k.key = f.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+OP8 = f"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all({_translate("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all({_translate("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), sought AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n,
+         unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), i -> array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS passage
+  FROM item_words WHERE len(w) > 0
+), lengths AS (SELECT DISTINCT n FROM sought),
+places AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS at, w FROM doc_words, lengths WHERE len(w) >= n
+), hits AS (
+  SELECT p.doc_id, s.item_id, p.at, p.n
+  FROM (SELECT doc_id, n, at, array_to_string(w[at:at + n - 1], ' ') AS passage FROM places) p JOIN sought s USING (n, passage)
+), covered AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + n)) AS pos FROM hits) GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM hits GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+QUERIES = {"op1_mixture": OP1, "op6_line_dedup": OP6, "op8_decontamination": OP8}
