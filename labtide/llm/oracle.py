@@ -72,12 +72,12 @@ WITH doc_words AS (
   FROM item_words WHERE len(w) > 0
 ), lengths AS (SELECT DISTINCT n FROM sought),
 places AS (
-  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS at, w FROM doc_words, lengths WHERE len(w) >= n
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS start_at, w FROM doc_words, lengths WHERE len(w) >= n
 ), hits AS (
-  SELECT p.doc_id, s.item_id, p.at, p.n
-  FROM (SELECT doc_id, n, at, array_to_string(w[at:at + n - 1], ' ') AS passage FROM places) p JOIN sought s USING (n, passage)
+  SELECT p.doc_id, s.item_id, p.start_at, p.n
+  FROM (SELECT doc_id, n, start_at, array_to_string(w[start_at:start_at + n - 1], ' ') AS passage FROM places) p JOIN sought s USING (n, passage)
 ), covered AS (
-  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + n)) AS pos FROM hits) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(start_at, start_at + n)) AS pos FROM hits) GROUP BY doc_id
 ), listed AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
   FROM hits GROUP BY doc_id
