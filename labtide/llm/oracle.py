@@ -44,6 +44,57 @@ SELECT doc_id, size, source_size, target,
 FROM passed
 """
 
+OP4 = f"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_translate("text")}, '{SPACED}'), []) AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+    lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS shingle
+  FROM doc_words WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY 1, 2
+), links AS (
+  SELECT o.a, o.b FROM shared o JOIN sizes x ON x.doc_id = o.a JOIN sizes y ON y.doc_id = o.b
+  WHERE 100 * o.both >= 75 * (x.n + y.n - o.both)
+), steps AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, s.b FROM reach r JOIN steps s ON r.b = s.a
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m USING (doc_id)
+"""
+
+OP5 = f"""
+WITH doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '{SPACED}'), []) AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS start_at, w FROM doc_words WHERE len(w) >= 50
+), hashed AS (
+  SELECT doc_id, start_at, md5(array_to_string(w[start_at:start_at + 49], ' ')) AS passage FROM windows
+), late AS (
+  SELECT doc_id, start_at FROM (SELECT *, min(doc_id) OVER (PARTITION BY passage) AS earliest FROM hashed) WHERE earliest < doc_id
+), edges AS (
+  -- covered words as the steps of a running count: +1 where a window starts, -1 behind its end
+  SELECT doc_id, start_at AS pos, 1 AS step FROM late UNION ALL SELECT doc_id, start_at + 50, -1 FROM late
+), steps AS (
+  SELECT doc_id, pos, sum(step) AS step FROM edges GROUP BY doc_id, pos
+), word_rows AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM doc_words
+), counted AS (
+  SELECT r.doc_id, r.pos, r.word, sum(coalesce(s.step, 0)) OVER (PARTITION BY r.doc_id ORDER BY r.pos) > 0 AS gone
+  FROM word_rows r LEFT JOIN steps s ON r.doc_id = s.doc_id AND r.pos = s.pos
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM counted GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM doc_words d LEFT JOIN kept k USING (doc_id)
+"""
+
 OP6 = f"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -68,7 +119,7 @@ WITH doc_words AS (
   SELECT item_id, regexp_extract_all({_translate("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
 ), sought AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS n,
-         unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), i -> array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS passage
+         unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS passage
   FROM item_words WHERE len(w) > 0
 ), lengths AS (SELECT DISTINCT n FROM sought),
 places AS (
@@ -87,4 +138,4 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
-QUERIES = {"op1_mixture": OP1, "op6_line_dedup": OP6, "op8_decontamination": OP8}
+QUERIES = {"op1_mixture": OP1, "op4_jaccard_join": OP4, "op5_substring_dedup": OP5, "op6_line_dedup": OP6, "op8_decontamination": OP8}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtide.llm import decontaminate, lines, mixing, rules
+from labtide.llm import decontaminate, jaccard, lines, mixing, repeats, rules
 from labtide.llm.common import settled, table
 
 
@@ -14,6 +14,14 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = lines.with_kept_lines(docs)
@@ -38,6 +46,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixture": op1_mixture,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op10_quality_rules": op10_quality_rules,
