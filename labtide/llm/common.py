@@ -60,5 +60,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The same rows through a one-element generator, which a later filter does not pass.
+
+    Pushed further down, a filter would repeat the expressions behind its columns, step within step.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labtide.llm.common import SPACES, settled, whole, words
+from labtide.llm.common import SPACES, held, settled, whole, words
 
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # per cent of words in repeated passages
@@ -254,5 +254,5 @@ def keep(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     rows = counted.select(
         "row", F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), *COUNTS
     ).withColumns(_vector())
-    passed = judged(rows, *fit(slim), cutoff).where("kept")
+    passed = held(judged(rows, *fit(slim), cutoff).select("row", "kept")).where("kept")
     return passed.select(*[F.col("row")[c].alias(c) for c in docs.columns])
