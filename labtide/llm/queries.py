@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtide.llm import decontaminate, jaccard, lines, mixing, quality, repeats, rules, toxicity
+from labtide.llm import decontaminate, jaccard, lines, maxent, mixing, quality, repeats, rules, toxicity
 from labtide.llm.common import settled, table, train_bucket
 
 
@@ -53,6 +53,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), train_bucket("doc_id", 5) == 1
+    found = maxent.score(docs, *maxent.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return found.select(
@@ -68,5 +74,6 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
 }
