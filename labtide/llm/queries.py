@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtide.llm import decontaminate, jaccard, lines, maxent, mixing, quality, repeats, rules, toxicity
+from labtide.llm import decontaminate, jaccard, lines, maxent, mixing, quality, repeats, rules, secrets, toxicity
 from labtide.llm.common import settled, table, train_bucket
 
 
@@ -14,6 +14,15 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = settled(secrets.candidates(docs, secrets.statistics(docs)))
+    scored = secrets.scan(found, secrets.train(found, secrets.rule_labels(found)))
+    return scored.select(
+        "doc_id", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret"
+    )
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), train_bucket("doc_id", 4) == 2
     model = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -68,6 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixture": op1_mixture,
+    "op2_secret_scan": op2_secret_scan,
     "op3_quality": op3_quality,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
