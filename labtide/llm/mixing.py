@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labtide.llm.common import settled, whole, words
+from labtide.llm.common import held, settled, words
 
 #: Sources in code point order take these weights in turn.
 WEIGHTS = (3, 1, 2)
@@ -127,26 +127,27 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS)
     a column of the input with such a name is replaced. Texts are not moved: a document's place needs only
     its key against its source's cut, and the cuts are one row per source.
     """
-    plain = docs.drop("mix_copies", "mix_words", "mix_taken")
     cut = cuts(shares(settled(sizes(docs, seed)), weights))
     key, size = _key(F.col("doc_id"), seed), F.size(words("text")).cast("long")
-    place = F.struct(key.alias("key"), F.col("doc_id").alias("doc_id"), size.alias("size"))
-    joined = plain.withColumn("__place", place).join(
-        cut, F.col("source").eqNullSafe(F.col("cut_source")), "left"
-    )
+    rows = docs.select(F.struct("*").alias("row"), F.struct(key.alias("key"), F.col("doc_id").alias("doc_id"), size.alias("size")).alias("place"))
+    joined = rows.join(cut, F.col("row.source").eqNullSafe(F.col("cut_source")), "left")
+    whole_size = F.col("place.size")
     part = (
         F.when(F.col("cut_at").isNull(), 0)
-        .when(F.col("__place") < F.col("cut_at"), F.col("__place.size"))
-        .when(F.col("__place").eqNullSafe(F.col("cut_at")), F.col("cut_words"))
+        .when(F.col("place") < F.col("cut_at"), whole_size)
+        .when(F.col("place").eqNullSafe(F.col("cut_at")), F.col("cut_words"))
         .otherwise(0)
         .cast("long")
     )
-    copies = F.coalesce(F.col("cut_epochs"), F.lit(0)) + F.when((part == F.col("__place.size")) & (part > 0), 1).otherwise(0)
-    rest = F.when(part == F.col("__place.size"), F.lit(0)).otherwise(part).cast("long")
-    out = joined.withColumns({"mix_copies": copies.cast("long"), "mix_words": rest}).withColumn(
-        "mix_taken", F.col("mix_copies") * F.col("__place.size") + F.col("mix_words")
+    full = (part == whole_size) & (part > 0)
+    counted = joined.select(
+        "row", whole_size.alias("size"),
+        (F.coalesce(F.col("cut_epochs"), F.lit(0)) + F.when(full, 1).otherwise(0)).cast("long").alias("copies"),
+        F.when(full, 0).otherwise(part).cast("long").alias("words"),
     )
-    return out.where(F.col("mix_taken") > 0).select(*[plain[c] for c in plain.columns], "mix_copies", "mix_words", "mix_taken")
+    taken = (F.col("copies") * F.col("size") + F.col("words")).alias("mix_taken")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("mix_copies", "mix_words", "mix_taken")]
+    return held(counted.select(*kept, F.col("copies").alias("mix_copies"), F.col("words").alias("mix_words"), taken)).where("mix_taken > 0")
 
 
 def cuts(shared: DataFrame) -> DataFrame:
