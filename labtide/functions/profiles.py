@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Analyte identity, units, biological variation and limits.
 # ---------------------------------------------------------------------------
 REVIEWED = "2026-10-06"
-CVA_NOTE = "assumed analytical imprecision of a modern analyser; replace with the local CVA"
+CVA_NOTE = "no local figure: a typical current analyser is taken"
 ADA = "ADA Standards of Care in Diabetes, section 2"
 ATP3 = "NCEP ATP III, Circulation 2002;106:3143"
 AHA = "AHA/ACC cholesterol guideline 2018, Circulation 2019;139:e1082"
@@ -32,8 +32,8 @@ ANALYTES = [
         "cva_source": CVA_NOTE,
         "population": (4.0, 5.6, ADA),
         "thresholds": [
-            (5.7, "above", "watch", "prediabetes range (ADA 5.7–6.4 %)", ADA),
-            (6.5, "above", "alert", "diabetes range (ADA ≥ 6.5 %)", ADA),
+            (5.7, "above", "watch", "raised glycation, between normal and diabetic", ADA),
+            (6.5, "above", "alert", "glycation at the diabetic limit", ADA),
         ],
     },
     {
@@ -49,9 +49,9 @@ ANALYTES = [
         "cva_source": CVA_NOTE,
         "population": None,
         "thresholds": [
-            (130.0, "above", "info", "borderline high (ATP III 130–159 mg/dL)", ATP3),
-            (160.0, "above", "watch", "high (ATP III 160–189 mg/dL)", ATP3),
-            (190.0, "above", "alert", "very high (≥ 190 mg/dL)", AHA),
+            (130.0, "above", "info", "LDL slightly over the desirable level", ATP3),
+            (160.0, "above", "watch", "LDL clearly raised", ATP3),
+            (190.0, "above", "alert", "LDL severely raised", AHA),
         ],
     },
     {
@@ -67,10 +67,10 @@ ANALYTES = [
         "cva_source": CVA_NOTE,
         "population": (0.45, 4.5, "subclinical thyroid disease review, JAMA 2004;291:228"),
         "thresholds": [
-            (4.5, "above", "watch", "at or above 4.5 mIU/L, subclinical hypothyroidism range if FT4 is normal", ATA_HYPO),
-            (10.0, "above", "alert", "TSH ≥ 10 mIU/L, treatment generally recommended", ATA_HYPO),
-            (0.45, "below", "watch", "below 0.45 mIU/L, subclinical hyperthyroidism range if FT4/FT3 are normal", ATA_HYPER),
-            (0.1, "below", "alert", "suppressed TSH (< 0.1 mIU/L)", ATA_HYPER),
+            (4.5, "above", "watch", "TSH over its interval; look at free T4", ATA_HYPO),
+            (10.0, "above", "alert", "TSH at a level that is usually treated", ATA_HYPO),
+            (0.45, "below", "watch", "TSH under its interval; look at free T4 and T3", ATA_HYPER),
+            (0.1, "below", "alert", "TSH hardly measurable", ATA_HYPER),
         ],
     },
     {
@@ -96,14 +96,14 @@ ANALYTES = [
         "conversions": [],
         "cvi": 0.053,
         "cva": 0.024,
-        "cvi_source": "1.2 × the creatinine CVI, through the CKD-EPI exponent -1.200",
-        "cva_source": "1.2 × the assumed creatinine CVA; replace with the local CVA",
+        "cvi_source": "from creatinine: its CVI times the exponent 1.2 of the equation",
+        "cva_source": "from creatinine: its CVA times the exponent 1.2 of the equation",
         "population": None,
         "thresholds": [
-            (60.0, "below", "watch", "KDIGO G3a, mildly to moderately decreased (eGFR 45–59)", KDIGO),
-            (45.0, "below", "watch", "KDIGO G3b, moderately to severely decreased (eGFR 30–44)", KDIGO),
-            (30.0, "below", "alert", "KDIGO G4, severely decreased (eGFR 15–29)", KDIGO),
-            (15.0, "below", "alert", "KDIGO G5, kidney failure (eGFR < 15)", KDIGO),
+            (60.0, "below", "watch", "kidney stage G3a", KDIGO),
+            (45.0, "below", "watch", "kidney stage G3b", KDIGO),
+            (30.0, "below", "alert", "kidney stage G4", KDIGO),
+            (15.0, "below", "alert", "kidney stage G5", KDIGO),
         ],
     },
 ]

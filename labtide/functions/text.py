@@ -58,6 +58,11 @@ def display_unit(unit: Column) -> Column:
     return unit
 
 
+def stripped(raw: Column | str) -> Column:
+    """Without white space of any script at both ends: tabs, line ends and no-break spaces as well as blanks."""
+    return F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+
+
 def text(*parts) -> Column:
     """Concatenate literals and columns."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])

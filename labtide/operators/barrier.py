@@ -14,10 +14,3 @@ def settled(df: DataFrame) -> DataFrame:
     wanted columns first: pruning does not pass this point.
     """
     return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for heavy per-row work when the scan has too few splits (one big row group).
-    A scan with enough splits, the normal case on a cluster, stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -1,4 +1,4 @@
-"""Text projections of a report: grounded context, deterministic draft, draft audit."""
+"""Text made from a report: a sheet of its facts, a draft that restates them, and the audit of other drafts."""
 
 from __future__ import annotations
 
@@ -7,109 +7,85 @@ from pyspark.sql import functions as F
 
 from labtide.functions.text import display_unit, fixed, iso_date, pct, signed_pct, text, value
 
-DISCLAIMER = (
-    "Draft text grounded in the computed signals, which stay authoritative. Synthetic data, not medical advice;"
-    " a clinician has to review it."
-)
+DISCLAIMER = "Made from computed results on synthetic data. The results stand as computed; a clinician reviews the wording."
 DRAFT_FIELDS = ["summary", "interpretation", "follow_up", "limitations", "status"]
 
 
+def _fact(name: str, *parts) -> Column:
+    """A line ``name = text``; no line where any part is missing."""
+    return text(f"{name} = ", *parts)
+
+
+def _numbered(name: str, column: str, one) -> Column:
+    """A line per element of an array, numbered from 1; no line for an empty array."""
+    lines = F.transform(column, lambda x, i: text(f"{name} ", (i + 1).cast("string"), " = ", one(x)))
+    return F.when(F.size(column) > 0, F.array_join(lines, "\n"))
+
+
+def _limit(x: Column) -> Column:
+    return text(value(x.value), F.when(x.direction == "above", " or more: ").otherwise(" as lower bound: "), x.label, "; ", x.source)
+
+
 def explain_context(reports: DataFrame, as_of_requested: bool = False) -> DataFrame:
-    """One plain-text block per report; it never carries the patient id."""
-    unit = display_unit(F.col("unit"))
-    profiled = F.col("analyte").isNotNull()
-    lines = [
-        F.when(
-            profiled, text("Analyte: ", F.col("display"), " (LOINC ", F.col("loinc"), "), unit ", unit)
-        ).otherwise(text("Analyte: ", F.col("code"), " (no analyte profile), unit ", unit)),
-        text(
-            "As of ", F.coalesce(iso_date(F.col("as_of")), F.lit("the latest result")), ", trends over ",
-            F.col("window_days").cast("string"), " days.",
-        ),
-        text("Computed status (authoritative): ", F.upper("status")),
-        text("Latest result: ", value(F.col("latest_v")), " ", unit, " on ", iso_date(F.col("latest_t"))),
-        text(
-            "Own baseline: set point ", value(F.col("set_point")), " ", unit, " from ",
-            F.col("base_n").cast("string"), " results ", iso_date(F.col("base_from")), " to ",
-            iso_date(F.col("base_to")), "; personal reference interval ", value(F.col("prri_low")), "–",
-            value(F.col("prri_high")), " ", unit, " at 95 %",
-        ),
-        text(
-            "Variation: within-subject CVI ", pct(F.col("cvi")), ", assumed analytical CVA ",
-            pct(F.col("cva")), ".",
-        ),
-        text(
-            "Population interval: ", value(F.col("pop_low")), "–", value(F.col("pop_high")), " ", unit,
-            " (", F.col("pop_source"), ")",
-        ),
-        _lines(
-            "in_listed_order",
-            lambda x: text(
-                "Clinical threshold: ", F.when(x.direction == "above", "≥").otherwise("<"), " ", value(x.value), " ",
-                unit, " = ", x.label, " (", x.source, ")",
-            ),
-        ),
-        F.when(F.size("signals") == 0, "Signals: none — no rule fired (this does not mean healthy).").otherwise(
-            "Computed signals, not to be re-graded:"
+    """One sheet of facts per report, a line each; the patient's id is not among them.
+
+    ``as_of_requested`` says whether the day that the analysis ends on was asked for.
+    """
+    rows = reports.withColumns({
+        "shown": F.coalesce(display_unit(F.col("unit")), F.lit("no unit")), "listed": F.array_sort("thresholds", lambda a, b: a.ord - b.ord),
+    })
+    between = lambda low, high: text(value(F.col(low)), " to ", value(F.col(high)))
+    end = "the requested day" if as_of_requested else "the latest result"
+    sheet = [
+        F.coalesce(
+            _fact("analyte", F.col("display"), "; LOINC ", F.col("loinc"), "; measured in ", F.col("shown")),
+            _fact("analyte", F.col("code"), "; without a profile; measured in ", F.col("shown")),
         ),
-        _lines(
-            "signals",
-            lambda s: text("- [", F.upper(s.severity), "] ", s.rule, ": ", s.explanation, " (source: ", s.source, ")"),
+        _fact("status", "", F.col("status"), ", as computed"),
+        F.coalesce(
+            _fact("period", F.col("window_days").cast("string"), f" days for trends, up to {end}, ", iso_date(F.col("as_of"))),
+            _fact("period", F.col("window_days").cast("string"), f" days for trends, up to {end}"),
         ),
-        _lines("not_assessed", lambda s: text("Skipped ", s.rule, ": ", s.reason)),
+        _fact("latest", value(F.col("latest_v")), " on ", iso_date(F.col("latest_t"))),
+        _fact("own level", value(F.col("set_point")), ", from ", F.col("base_n").cast("string"), " results up to ", iso_date(F.col("base_to"))),
+        _fact("own interval", between("prri_low", "prri_high"), " for 95 of 100 results"),
+        _fact("variation", pct(F.col("cvi")), " within a person, ", pct(F.col("cva")), " of the method"),
+        _fact("population", between("pop_low", "pop_high"), "; ", F.col("pop_source")),
+        _numbered("limit", "listed", _limit),
+        F.when(F.size("signals") == 0, "findings = none; that is no proof of health"),
+        _numbered("finding", "signals", lambda s: text(s.severity, " by ", s.rule, ": ", s.explanation, "; ", s.source)),
+        _numbered("gap", "not_assessed", lambda s: text(s.rule, ", ", s.reason)),
         F.when(
             F.col("trend_done"),
-            text(
-                "Trend ", F.col("direction"), ", ", signed_pct(F.col("change_per_year")), " a year, p = ",
-                fixed(F.col("mk_p"), 3),
-            ),
-        ),
-        text(
-            "Recent results (", unit, ", oldest to newest): ",
-            F.array_join(F.transform("recent", lambda p: text(iso_date(p.t), " ", value(p.v))), "; "),
+            _fact("trend", F.col("direction"), ", ", signed_pct(F.col("change_per_year")), " in a year, p ", fixed(F.col("mk_p"), 3)),
         ),
-        F.lit("Task: explain this drift for the reviewing clinician."),
+        _fact("history", F.array_join(F.transform("recent", lambda p: text(iso_date(p.t), ": ", value(p.v))), ", ")),
+        F.lit("wanted = an account of these findings for the clinician, with severities as given"),
     ]
-    ordered = reports.withColumn(
-        "in_listed_order",
-        F.array_sort("thresholds", lambda a, b: a.ord - b.ord),
-    )
-    return ordered.select("patient_id", "code", "derived", F.concat_ws("\n", *lines).alias("context"))
-
-
-def _lines(column: str, one) -> Column:
-    """Text of an array, one line per element, null when the array is empty."""
-    return F.when(F.size(column) > 0, F.array_join(F.transform(column, one), "\n"))
+    return rows.select("patient_id", "code", "derived", F.concat_ws("\n", *sheet).alias("context"))
 
 
 def stub_drafts(reports: DataFrame) -> DataFrame:
-    """Template draft that can only restate what was computed."""
-    name = F.coalesce("display", "code")
-    flagged = F.array_join(
-        F.transform(F.filter("signals", lambda s: s.sev_rank > 0), lambda s: s.explanation), " "
-    )
-    note = "Template draft: it only repeats the computed signals."
-    skipped = F.array_join(
-        F.transform("not_assessed", lambda s: F.lower(text(s.rule, ": ", s.reason))), "; "
-    )
+    """A draft without a model: counts, the sentences of the findings, and what was left unjudged."""
+    of = lambda severity: F.size(F.filter("signals", lambda s: s.severity == severity)).cast("string")
+    told = F.array_join(F.transform(F.filter("signals", lambda s: s.sev_rank > 0), lambda s: s.explanation), " ")
+    gaps = F.array_join(F.transform("not_assessed", lambda s: text(s.rule, " (", s.reason, ")")), ", ")
     return reports.select(
-        "patient_id",
-        "code",
-        "derived",
-        F.when(flagged == "", text("No drift rule fired for ", name, ". ", note))
-        .otherwise(text(flagged, " (", note, ")"))
-        .alias("summary"),
-        F.lit(
-            "First weigh analytical and within-subject variation (reference change value, personal interval), then"
-            " pre-analytical factors, then clinical causes."
+        "patient_id", "code", "derived",
+        F.concat_ws(
+            " ",
+            text(F.coalesce("display", "code"), ": ", of("alert"), " alerts, ", of("watch"), " watches, ", of("info"), " notes."),
+            F.when(told != "", told),
+        ).alias("summary"),
+        F.when(told == "", "The results move as this person's results usually do.").otherwise(
+            "Before a cause is looked for: does the change exceed what the method and the person vary by, and was the sample sound?"
         ).alias("interpretation"),
-        F.lit(
-            "A repeat measurement and a look at medication and intercurrent illness may help before acting; these are"
-            " considerations, not orders."
-        ).alias("follow_up"),
-        text(
-            "Medication, symptoms and history are not part of this record, and no signal does not mean healthy.",
-            F.when(skipped == "", "").otherwise(text(" Not assessed: ", skipped, ".")),
+        F.when(F.col("status") == "alert", "Confirm with a second sample and check treatment and recent illness.")
+        .when(F.col("status") == "watch", "Compare with the next regular sample.")
+        .otherwise("Nothing beyond the regular samples follows from these results.").alias("follow_up"),
+        F.concat_ws(
+            " ", F.lit("Made from results alone: symptoms, medicines and history are unknown here."),
+            F.when(gaps != "", text("The rules that could not judge: ", gaps, ".")),
         ).alias("limitations"),
         "status",
     )

@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labtide.functions import profiles
+from labtide.functions.text import stripped
 
 SERIES = ["patient_id", "code"]
 
 
 def unit_key(unit: Column) -> Column:
     """Spelling-insensitive unit: trimmed, lower case, no spaces, both micro signs as ``u``."""
-    return F.translate(F.replace(F.lower(F.trim(unit)), F.lit(" "), F.lit("")), "µμ", "uu")
+    return F.translate(F.replace(F.lower(stripped(unit)), F.lit(" "), F.lit("")), "µμ", "uu")
 
 
 def with_analyte(df: DataFrame, code: str = "code") -> DataFrame:
     """Add ``analyte``: the short code behind a short code (any case) or LOINC code, else null."""
     codes = profiles.analyte_codes(df.sparkSession)
     return (
-        df.withColumn("lookup_key", F.upper(F.trim(F.col(code))))
+        df.withColumn("lookup_key", F.upper(stripped(F.col(code))))
         .join(F.broadcast(codes), "lookup_key", "left")
         .drop("lookup_key")
     )
@@ -29,7 +30,7 @@ def canonical_codes(observations: DataFrame) -> DataFrame:
     """Upload form of the code: trimmed, upper case, mapped to the profile's short code when there is one."""
     return (
         with_analyte(observations)
-        .withColumn("code", F.coalesce("analyte", F.upper(F.trim("code"))))
+        .withColumn("code", F.coalesce("analyte", F.upper(stripped("code"))))
         .drop("analyte")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labtide.functions.profiles import REVIEWED, RULES
+from labtide.functions.text import stripped
 
 ENGINE = "labtide 0.1"
 ACTIONS = ["acknowledge", "annotate", "dismiss", "reopen"]
@@ -32,7 +33,7 @@ def identifier(text: Column) -> Column:
 
 def reject_reason(rule: Column, action: Column, reason: Column) -> Column:
     """Why a submitted review is refused; null when it is acceptable."""
-    text = F.trim(reason)
+    text = stripped(reason)
     blank = reason.isNull() | (text == "")
     size = F.char_length(text)
     found = identifier(text)
@@ -40,9 +41,9 @@ def reject_reason(rule: Column, action: Column, reason: Column) -> Column:
         F.when(rule.isNull() | ~rule.isin(*RULES), "unknown rule")
         .when(action.isNull() | ~action.isin(*ACTIONS), "unknown action")
         .when(blank & (action == "acknowledge"), F.lit(None).cast("string"))
-        .when(blank, F.concat(F.lit("a reason is required to "), action))
-        .when((size < 3) | (size > 500), "reason must be 3..=500 characters")
-        .when(found.isNotNull(), F.concat(F.lit("reason looks like it contains "), found))
+        .when(blank, F.concat(F.lit("say why, to "), action))
+        .when((size < 3) | (size > 500), "a reason has between 3 and 500 characters")
+        .when(found.isNotNull(), F.concat(F.lit("the reason seems to hold "), found))
     )
 
 
@@ -135,7 +136,7 @@ def accept(submitted: DataFrame, reports: DataFrame, signals: DataFrame, window_
         "reject_reason",
         F.coalesce("reject_reason", F.when(F.col("computed").isNull(), "no such signal in the current analysis")),
     )
-    text = F.trim("reason")
+    text = stripped("reason")
     accepted = (
         joined.where("reject_reason IS NULL")
         .withColumn("snapshot", F.col("computed"))

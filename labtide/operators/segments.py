@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from labtide.session import checkpointed
 
 SEGMENT_ROWS = 200_000
-MAX_SEGMENTS = 20_000
 
 
 def segmented(df: DataFrame, keys: list[str], order: list[str], rows: int, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Add ``seg``; segments of one key follow its order. ``rows`` is a measured upper bound."""
-    parts = min(max(1, math.ceil(rows / segment_rows)), MAX_SEGMENTS)
+    parts = max(1, math.ceil(rows / segment_rows))
     return checkpointed(df.repartitionByRange(parts, *keys, *order).withColumn("seg", F.spark_partition_id()))
 
 

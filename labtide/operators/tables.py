@@ -44,11 +44,11 @@ def _counts(**frames: DataFrame) -> DataFrame:
 
 
 def upsert_demographics(stored: DataFrame, batch: DataFrame, sequence: str = "seq") -> DataFrame:
-    """Last write per patient wins, nulls included; ``batch`` carries the sequence column."""
-    old = stored.withColumn("rank", F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("seq")))
-    new = batch.withColumn(
-        "rank", F.struct(F.lit(1).alias("batch"), F.col(sequence).cast("long").alias("seq"))
-    ).drop(sequence)
+    """Last write per patient wins, nulls included; ``batch`` carries the sequence column, a number or the
+    readers' struct of file, block and row."""
+    kind = batch.schema[sequence].dataType
+    old = stored.withColumn("rank", F.struct(F.lit(0).alias("batch"), F.lit(None).cast(kind).alias("seq")))
+    new = batch.withColumn("rank", F.struct(F.lit(1).alias("batch"), F.col(sequence).alias("seq"))).drop(sequence)
     return (
         old.unionByName(new)
         .groupBy("patient_id")

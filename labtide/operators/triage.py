@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labtide.operators.barrier import settled
 from labtide.operators.review import fold
 from labtide.operators.signals import status_name
+from labtide.session import checkpointed
 
 
 def triage(reports: DataFrame, events: DataFrame) -> DataFrame:
@@ -52,16 +54,23 @@ def triage(reports: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def ranked(triaged: DataFrame) -> DataFrame:
-    """Worst first; a range-partitioned sort, so no task sees the whole cohort.
+    """Worst first, with the place in that order as ``rank``.
 
-    The sort samples its input first. The exchange of these few columns keeps that
-    sample from running the whole analysis a second time; it is on two columns, because
-    one on the patient alone is already satisfied and would be planned away.
+    The sort is range-partitioned, so no task sees the whole cohort. Its partitions are written once; a
+    row's rank is its place in its partition plus the rows of the partitions before it. The exchange
+    in front keeps the sampling of the sort from running the whole analysis a second time; it is on two
+    columns, because one on the patient alone is already satisfied and would be planned away.
     """
-    return settled(triaged.repartition("patient_id", "status")).orderBy(
+    ordered = settled(triaged.repartition("patient_id", "status")).orderBy(
         F.desc_nulls_last("top_rank"), F.desc("unreviewed"), F.desc("status_rank"), F.desc("alerts"),
         F.desc("watches"), "patient_id",
     )
+    placed = checkpointed(ordered.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}))
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+    rank = F.col("place") - F.shiftleft(F.col("part").cast("long"), 33) + F.col("offset") + 1
+    return placed.join(F.broadcast(offsets), "part").withColumn("rank", rank).drop("part", "place", "offset").orderBy("rank")
 
 
 def deciding_rules(reports: DataFrame) -> DataFrame:

@@ -349,10 +349,8 @@ QUERIES: dict[str, str] = {
     "baselines": sql(
         f"SELECT {KEY}, base_n, base_from, base_to, {r('set_point', 'prri_low', 'prri_high')} FROM base"
     ),
-    "rcv_limits": f"""WITH {', '.join(f'{n} AS ({b})' for n, b in CTES.items() if n.startswith('analytes'))}
-        SELECT code, {', '.join(f"round(exp({sgn}{_s(z)} * {_s(SQRT2)} * sigma) - 1, 6) AS {side}_{pc}"
-                               for z, pc in ((Z95, 95), (Z99, 99)) for sgn, side in (('', 'up'), ('-', 'down')))}
-        FROM analytes""",
+    "rcv_limits": sql(f"SELECT DISTINCT {KEY}, {r('rcv_up', 'rcv_down')} FROM lp WHERE n >= 2"),
+    "unit_spellings": sql(f"SELECT event_id, {r('v')} FROM norm WHERE profiled"),
     "rcv_jumps": sql(
         f"SELECT {KEY}, pt AS from_t, t AS to_t, round(v / pv - 1, 6) AS change FROM lp"
         " WHERE pv IS NOT NULL AND (v / pv - 1 > rcv_up OR v / pv - 1 < rcv_down)"
@@ -406,7 +404,9 @@ QUERIES: dict[str, str] = {
     ),
     "triage": sql("SELECT * FROM triage"),
     "triage_ranked": sql(
-        "SELECT t.*, l.biomarkers, l.observations FROM triage t JOIN (SELECT patient_id, count(DISTINCT code) AS biomarkers,"
+        "SELECT t.*, row_number() OVER (ORDER BY CASE top_severity WHEN 'alert' THEN 2 WHEN 'watch' THEN 1 WHEN 'info' THEN 0 END"
+        " DESC NULLS LAST, unreviewed DESC, CASE status WHEN 'alert' THEN 2 WHEN 'watch' THEN 1 ELSE 0 END DESC, alerts DESC,"
+        " watches DESC, t.patient_id) AS rank, l.biomarkers, l.observations FROM triage t JOIN (SELECT patient_id, count(DISTINCT code) AS biomarkers,"
         " count(*) AS observations FROM obs GROUP BY ALL) l USING (patient_id)"
     ),
     "point_annotations": sql(
@@ -451,9 +451,9 @@ QUERIES: dict[str, str] = {
     "identifier_screen": f"SELECT doc_id, CASE {_IDENTIFIER_CASE} END AS found FROM documents",
     "review_rejects": f"""SELECT conv_id, turn, CASE WHEN action IS NULL THEN 'unknown action'
         WHEN (text IS NULL OR trim(text) = '') AND action = 'acknowledge' THEN NULL
-        WHEN text IS NULL OR trim(text) = '' THEN 'a reason is required to ' || action
-        WHEN length(trim(text)) NOT BETWEEN 3 AND 500 THEN 'reason must be 3..=500 characters'
-        ELSE 'reason looks like it contains ' || (CASE {_IDENTIFIER_CASE} END) END AS reject_reason
+        WHEN text IS NULL OR trim(text) = '' THEN 'say why, to ' || action
+        WHEN length(trim(text)) NOT BETWEEN 3 AND 500 THEN 'a reason has between 3 and 500 characters'
+        ELSE 'the reason seems to hold ' || (CASE {_IDENTIFIER_CASE} END) END AS reject_reason
         FROM (SELECT *, CASE turn % 5 WHEN 0 THEN 'acknowledge' WHEN 1 THEN 'annotate' WHEN 2 THEN 'dismiss' WHEN 3 THEN 'reopen' END
               AS action FROM conversations)""",
     "parse_taken_at": sql(

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labtide.functions import profiles
-from labtide.functions.stats import Z95, Z99, normal_cdf, rcv_down, rcv_up
+from labtide.functions.stats import normal_cdf
 from labtide.functions.text import iso_instant
 from labtide.operators import (
-    layout, narrative, normalise, points, quality, reports, review, signals, tables, triage,
+    detectors, layout, narrative, normalise, points, quality, reports, review, signals, tables, triage,
 )
-from labtide.operators.barrier import settled, spread
+from labtide.operators.barrier import settled
 from labtide.options import Options
 from labtide.plans import adapter
 from labtide.schemas import OBSERVATION_COLUMNS
@@ -97,6 +97,17 @@ def normalise_units(spark, sf_dir):
     return rows.where("analyte IS NOT NULL").select("event_id", "patient_id", "code", "unit", *r("v"))
 
 
+def unit_spellings(spark, sf_dir):
+    """Units and codes with white space of several scripts around them, and in capitals."""
+    around = F.expr("CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN '\t' WHEN 2 THEN '\u00a0' WHEN 3 THEN '\r\n' ELSE '\u2003 ' END")
+    unit = F.when(F.expr("event_id % 7 = 0"), F.upper("unit")).otherwise(F.col("unit"))
+    rows = adapter.lab_events(spark, sf_dir).withColumns(
+        {"unit": F.concat(around, unit, around), "code": F.concat(around, F.lower("code"), around)}
+    )
+    rows = normalise.with_canonical_value(normalise.with_analyte(rows))
+    return rows.where("analyte IS NOT NULL").select("event_id", *r("v"))
+
+
 def unprofiled_units(spark, sf_dir):
     rows = _facts(spark, sf_dir).where("analyte IS NULL")
     return rows.select("patient_id", "code", "unit", *long("n", "unit_unknown"))
@@ -166,7 +177,7 @@ def _fhir_resources(spark, sf_dir) -> DataFrame:
     )
     json = F.when(k == 8, F.replace(F.to_json(body), F.lit('"final"'), F.lit("5"))).otherwise(F.to_json(body))
     json = F.when(k == 8, F.replace(json, F.lit('"amended"'), F.lit("5"))).otherwise(json)
-    lines = spread(adapter.lab_events(spark, sf_dir)).select(
+    lines = adapter.lab_events(spark, sf_dir).select(
         F.lit("events").alias("file"), F.col("event_id").alias("position"), F.try_parse_json(json).alias("resource")
     )
     return settled(lines)
@@ -302,13 +313,8 @@ def baselines(spark, sf_dir):
 
 
 def rcv_limits(spark, sf_dir):
-    sigma = F.col("sigma")
-    codes = _facts(spark, sf_dir).where("analyte IS NOT NULL").select("analyte").distinct()
-    return profiles.analytes(spark).join(codes, "analyte", "left_semi").select(
-        F.col("analyte").alias("code"),
-        *[F.round(f(sigma, z), 6).alias(f"{side}_{pc}") for z, pc in ((Z95, 95), (Z99, 99))
-          for f, side in ((rcv_up, "up"), (rcv_down, "down"))],
-    )
+    rows = detectors.with_rcv(_facts(spark, sf_dir)).select(*KEY, "n", *r("rcv_up", "rcv_down"))
+    return settled(rows).where("rcv_up IS NOT NULL AND n >= 2").drop("n")
 
 
 def rcv_jumps(spark, sf_dir):
@@ -450,7 +456,7 @@ def review_snapshots(spark, sf_dir):
 
 
 def identifier_screen(spark, sf_dir):
-    rows = spread(adapter.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = adapter.table(spark, sf_dir, "documents").select("doc_id", "text")
     return rows.select("doc_id", review.identifier(F.col("text")).alias("found"))
 
 
@@ -480,7 +486,7 @@ def patient_triage(spark, sf_dir):
 def triage_ranked(spark, sf_dir):
     listing = tables.patient_listing(adapter.observations(spark, sf_dir))
     ranked = triage.ranked(_triage(spark, sf_dir).join(listing, "patient_id"))
-    return ranked.select(*TRIAGE_COLUMNS, "biomarkers", "observations")
+    return ranked.select(*TRIAGE_COLUMNS, "rank", "biomarkers", "observations")
 
 
 # -- points and text -------------------------------------------------------------------
@@ -526,7 +532,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            biomarker_stats, patient_listing, patient_codes, canonical_codes, normalise_units, unprofiled_units,
+            biomarker_stats, patient_listing, patient_codes, canonical_codes, normalise_units, unit_spellings, unprofiled_units,
             parse_taken_at, csv_rejects, fhir_skip_reasons, fhir_observations, fhir_patients, skip_histogram,
             idempotent_insert, upload_summary, upsert_demographics, dedupe_results, plausibility,
             series_as_recorded, exclusions, as_of_exclusions, latest_results, recent_results, baselines, rcv_limits,

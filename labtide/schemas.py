@@ -14,6 +14,7 @@ def _struct(spec: str) -> T.StructType:
 OBSERVATION_COLUMNS = ["patient_id", "code", "value", "unit", "taken_at", "source"]
 OBSERVATIONS = _struct("patient_id:string code:string value:double unit:string taken_at:timestamp source:string")
 CSV_TEXT = _struct(" ".join(f"{c}:string" for c in OBSERVATION_COLUMNS))
+CSV_RAGGED = T.StructType([*CSV_TEXT.fields, T.StructField("ragged", T.StringType())])
 DEMOGRAPHICS = _struct("patient_id:string gender:string birth_year:int")
 REVIEW_EVENTS = _struct(
     "id:long patient_id:string code:string rule:string signal_t:long action:string"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -28,8 +27,8 @@ def checkpointed(df):
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = os.path.join(tempfile.gettempdir(), "labtide-checkpoints")
+            folder = tempfile.mkdtemp(prefix="labtide-checkpoints-")  # one machine is all there is
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
+from labtide.functions.text import stripped
 from labtide.operators.normalise import canonical_codes
-from labtide.schemas import CSV_TEXT, OBSERVATION_COLUMNS
+from labtide.schemas import CSV_RAGGED, OBSERVATION_COLUMNS
+
+CSV_OPTIONS = {"header": True, "enforceSchema": True, "multiLine": True, "columnNameOfCorruptRecord": "ragged"}
 
 
 def parse_taken_at(raw: Column) -> Column:
     """Date, or date-time with ``T`` or a space, as UTC; null for anything else."""
-    text = F.trim(raw)
+    text = stripped(raw)
     shape = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}:\d{1,2})?$"
     return F.when(F.rlike(text, F.lit(shape)), text.try_cast("timestamp"))
 
 
-def headers(reader: DataFrameReader, path: str) -> DataFrame:
+def headers(reader: DataFrameReader, path: str | list[str]) -> DataFrame:
     """First line of every file, normalised, with whether it is the declared header."""
     lines = (
         reader.option("lineSep", "\n")
@@ -30,8 +33,8 @@ def headers(reader: DataFrameReader, path: str) -> DataFrame:
         .where("start = 0")
     )
     first = lines.groupBy("file").agg(F.min_by("value", "line").alias("header"))
-    clean = F.regexp_replace(F.trim(F.regexp_replace("header", "\r", "")), "^﻿", "")
-    names = F.transform(F.split(clean, ","), lambda c: F.lower(F.trim(c)))
+    clean = F.regexp_replace(stripped("header"), "^﻿", "")
+    names = F.transform(F.split(clean, ","), lambda c: F.lower(stripped(c)))
     return first.select(
         "file", F.array_join(names, ", ").alias("got"), F.lit(", ".join(OBSERVATION_COLUMNS)).alias("expected")
     ).withColumn("ok", F.col("got") == F.col("expected"))
@@ -45,14 +48,18 @@ def check_headers(spark: SparkSession, path: str) -> None:
 
 
 def text_rows(reader: DataFrameReader, path: str) -> DataFrame:
-    """All-string rows with their place: file, block and row, comparable as one struct ``seq``."""
+    """All-string rows with their place: file, block and row, comparable as one struct ``seq``.
+
+    ``ragged`` holds the raw text of a row with more or fewer fields than declared. A quoted line
+    break belongs to its field, so a file is read by one task; large feeds come in many files.
+    """
     return (
-        reader.schema(CSV_TEXT)
-        .option("header", True)
-        .option("enforceSchema", True)
+        reader.schema(CSV_RAGGED)
+        .options(**CSV_OPTIONS)
         .csv(path)
         .select(
             *OBSERVATION_COLUMNS,
+            "ragged",
             F.struct(
                 F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("start"),
@@ -64,28 +71,30 @@ def text_rows(reader: DataFrameReader, path: str) -> DataFrame:
 
 def checked_rows(rows: DataFrame) -> DataFrame:
     """Text rows with typed columns and ``reject_reason`` (null when the row is accepted)."""
-    number = F.trim("value").try_cast("double")
+    number = stripped("value").try_cast("double")
     taken_at = parse_taken_at(F.col("taken_at"))
     missing = lambda c: F.concat(F.lit("missing or null "), F.lit(c))
+    uneven = F.col("ragged").isNotNull() if "ragged" in rows.columns else F.lit(False)
     reason = (
-        F.when(F.col("value").isNull(), missing("value"))
+        F.when(uneven, f"not {len(OBSERVATION_COLUMNS)} fields")
+        .when(F.col("value").isNull(), missing("value"))
         .when(number.isNull(), "value is not a number")
         .when(~(F.abs(number) < float("inf")), "non-finite value")
         .when(F.col("patient_id").isNull(), missing("patient_id"))
         .when(F.col("code").isNull(), missing("code"))
         .when(F.col("unit").isNull(), missing("unit"))
         .when(F.col("taken_at").isNull(), missing("taken_at"))
-        .when(taken_at.isNull(), F.concat(F.lit("invalid taken_at: "), F.trim("taken_at")))
+        .when(taken_at.isNull(), F.concat(F.lit("invalid taken_at: "), stripped("taken_at")))
         .when(F.col("source").isNull(), missing("source"))
     )
-    extra = [c for c in rows.columns if c not in OBSERVATION_COLUMNS]
+    extra = [c for c in rows.columns if c not in (*OBSERVATION_COLUMNS, "ragged")]
     return rows.select(
-        F.trim("patient_id").alias("patient_id"),
-        F.upper(F.trim("code")).alias("code"),
+        stripped("patient_id").alias("patient_id"),
+        F.upper(stripped("code")).alias("code"),
         number.alias("value"),
-        F.trim("unit").alias("unit"),
+        stripped("unit").alias("unit"),
         taken_at.alias("taken_at"),
-        F.trim("source").alias("source"),
+        stripped("source").alias("source"),
         *extra,
         reason.alias("reject_reason"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labtide.functions.text import stripped
 from labtide.operators.barrier import settled
 from labtide.operators.normalise import with_analyte
 from labtide.schemas import OBSERVATION_COLUMNS
@@ -102,7 +103,7 @@ def ndjson_resources(spark: SparkSession, path: str) -> DataFrame:
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """Resources of (file, value) lines, each parsed once."""
     return settled(
-        lines.where(F.trim("value") != "").select(
+        lines.where(stripped("value") != "").select(
             "file",
             F.monotonically_increasing_id().alias("position"),
             F.try_parse_json("value").alias("resource"),
@@ -121,8 +122,7 @@ def patients(rows: DataFrame) -> DataFrame:
         _text("id").alias("patient_id"),
         F.when(gender.isin(*GENDERS), gender).alias("gender"),
         F.when(year.between(1900, 2100), year).alias("birth_year"),
-        "file",
-        "position",
+        F.struct("file", F.lit(0).cast("long").alias("start"), F.col("position").cast("long").alias("row")).alias("seq"),
     )
 
 
@@ -197,7 +197,7 @@ def checked_observations(rows: DataFrame) -> DataFrame:
         .when(F.col("code").isNull(), NO_CODE)
         .when(~F.col("has_quantity"), NO_QUANTITY)
         .when(~F.coalesce(F.abs("value") < float("inf"), F.lit(False)), NO_VALUE)
-        .when(F.col("unit").isNull() | (F.trim("unit") == ""), NO_UNIT)
+        .when(F.col("unit").isNull() | (stripped("unit") == ""), NO_UNIT)
         .when(F.col("raw_time").isNull(), NO_TIME)
         .when(taken_at.isNull(), _around(BAD_TIME, "raw_time"))
         .when(F.col("reference").isNull(), NO_SUBJECT)

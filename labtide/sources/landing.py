@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labtide.functions.text import stripped
 from labtide.schemas import OBSERVATION_COLUMNS
 from labtide.sources import csv, fhir
 
 
 def detect_format(body: Column, content_type: Column | None = None) -> Column:
     """``fhir`` for a JSON content type or a body starting with ``{``, else ``csv``."""
-    json_body = F.rlike(body, F.lit(r"^[ \t\n\r\f]*\{"))
+    json_body = F.rlike(body, F.lit(r"(?U)^\s*\{"))
     if content_type is not None:
         lowered = F.lower(content_type)
         json_body = json_body | F.coalesce(
@@ -28,7 +29,7 @@ def file_formats(spark: SparkSession, path: str) -> DataFrame:
         "value",
     )
     return (
-        lines.where(F.trim("value") != "")
+        lines.where(stripped("value") != "")
         .groupBy("file")
         .agg(F.min_by(detect_format(F.col("value")), "at").alias("format"))
     )

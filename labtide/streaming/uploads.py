@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from labtide.operators import reports, signals, tables
 from labtide.operators.normalise import SERIES
 from labtide.options import Options
-from labtide.schemas import CSV_TEXT, DEMOGRAPHICS
+from labtide.schemas import CSV_RAGGED, DEMOGRAPHICS
 from labtide.sources import csv, fhir
 
 
@@ -54,8 +54,8 @@ def _place() -> list:
 
 
 def csv_uploads(spark: SparkSession, folder: str) -> DataFrame:
-    raw = spark.readStream.schema(CSV_TEXT).option("header", True).option("pathGlobFilter", "*.csv").csv(folder)
-    return raw.select(*CSV_TEXT.names, *_place())
+    raw = spark.readStream.schema(CSV_RAGGED).options(**csv.CSV_OPTIONS).option("pathGlobFilter", "*.csv").csv(folder)
+    return raw.select(*CSV_RAGGED.names, *_place())
 
 
 def fhir_uploads(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,11 +65,26 @@ def fhir_uploads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_csv(spark: SparkSession, folder: str, store: Store, checkpoint: str, options: Options = Options()) -> StreamingQuery:
-    """Process every file not seen yet, then stop."""
+    """Process every file not seen yet, then stop. A file is one upload: with other columns than declared, or
+    with a bad row, none of it is stored, and its rows go to the rejects with the reason."""
 
     def batch(df: DataFrame, number: int) -> None:
         rows = df.withColumn("seq", F.struct("file", "start", F.monotonically_increasing_id().alias("row")))
-        accepted, rejected = csv.split(csv.checked_rows(rows.drop("file", "start")))
+        checked = csv.checked_rows(rows.drop("file", "start"))
+        names = [r["file"] for r in df.select("file").distinct().collect()]  # the files of one micro-batch
+        if not names:
+            return
+        bad_header = csv.headers(spark.read, names).where("NOT ok").select(
+            "file", F.concat(F.lit("schema mismatch, got "), F.col("got")).alias("fault")
+        )
+        bad_row = checked.where("reject_reason IS NOT NULL").groupBy(F.col("seq.file").alias("file")).agg(
+            F.min_by("reject_reason", "seq").alias("first")
+        )
+        bad_row = bad_row.join(bad_header.select("file"), "file", "left_anti")
+        faults = bad_header.unionByName(bad_row.select("file", F.concat(F.lit("file refused: "), F.col("first")).alias("fault")))
+        judged = checked.withColumn("file", F.col("seq.file")).join(faults, "file", "left").drop("file")
+        reason = F.when(F.col("fault").startswith("schema"), F.col("fault")).otherwise(F.coalesce("reject_reason", "fault"))
+        accepted, rejected = csv.split(judged.withColumn("reject_reason", reason).drop("fault"))
         rejected.drop("seq").write.mode("overwrite").parquet(f"{store.rejects}/feed=csv/batch={number}")
         tables.append_results(spark, store.results, accepted)
         refresh(spark, store, accepted.select(*SERIES).distinct(), "csv", number, options)
@@ -83,9 +98,7 @@ def run_fhir(spark: SparkSession, folder: str, store: Store, checkpoint: str, op
     def batch(df: DataFrame, number: int) -> None:
         accepted, skipped, patients = fhir.split(fhir.parsed_lines(df))
         skipped.write.mode("overwrite").parquet(f"{store.rejects}/feed=fhir/batch={number}")
-        people = patients.select(
-            *DEMOGRAPHICS.names, F.struct("file", "position").alias("seq")
-        ).groupBy("patient_id").agg(F.max_by(F.struct("gender", "birth_year"), "seq").alias("row"))
+        people = patients.groupBy("patient_id").agg(F.max_by(F.struct("gender", "birth_year"), "seq").alias("row"))
         people.select("patient_id", "row.*").write.mode("overwrite").parquet(f"{store.demographics}/batch={number}")
         tables.append_results(spark, store.results, accepted)
         kidney = patients.select("patient_id", F.lit("CREAT").alias("code"))

@@ -58,7 +58,7 @@ def test_submitted_reviews_are_checked_and_snapshotted(spark, computed, tmp_path
     assert kept.keys() == {1, 8} and kept[8].reason == "known CKD, stable on review 2026-09"
     assert '"rule":"rcv"' in kept[1].snapshot and '"status":"alert"' in kept[1].snapshot
     why = {r.id: r.reject_reason for r in rejected.collect()}
-    assert why[2] == "a reason is required to dismiss" and "3..=500" in why[3] and "keyword" in why[4]
+    assert why[2] == "say why, to dismiss" and "3 and 500" in why[3] and "keyword" in why[4]
     assert why[5] == "unknown action" and why[6] == "unknown rule" and "no such signal" in why[7]
     assert {r.id for r in review.stale(events(spark, rows), sig).collect()} == {6, 7}
 

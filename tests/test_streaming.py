@@ -35,10 +35,16 @@ def test_uploads_are_idempotent_late_results_count_and_patients_are_corrected(sp
 
     # the same file again, late results, another patient and a bad row
     other = weekly("b", "LDL", [120.0] * 5, "mg/dL")
-    (folder / "2.csv").write_text(_csv(on_time + late + other) + "b,LDL,,mg/dL,2026-01-01,test\n")
+    (folder / "2.csv").write_text(_csv(on_time + late + other))
     run_csv()
     assert tables.read_results(spark, store.results).count() == 21
-    assert spark.read.parquet(store.rejects).count() == 1
+    # a file with a bad row, and one whose columns are swapped, are refused whole
+    (folder / "5.csv").write_text(_csv(weekly("c", "LDL", [120.0] * 3, "mg/dL")) + "c,LDL,,mg/dL,2026-01-01,test\n")
+    (folder / "6.csv").write_text("patient_id,code,unit,value,taken_at,source\nd,LDL,101,100,2026-01-01,test\n")
+    run_csv()
+    assert tables.read_results(spark, store.results).count() == 21
+    reasons = [r.reject_reason for r in spark.read.parquet(store.rejects).collect()]
+    assert len(reasons) == 5 and sum("missing or null value" in r for r in reasons) == 4 and sum("schema mismatch" in r for r in reasons) == 1
 
     (folder / "3.ndjson").write_text(_patient("a", "female", "1960-02-03"))
     run_fhir()
