@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from labtide.plans import oracle
+from labtide.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -35,13 +37,14 @@ def _same(a, b):
 
 
 def test_only_text_and_nested_results_have_no_sql():
-    assert contract.queries().keys() - contract.oracle_sql().keys() == WITHOUT_SQL
+    assert QUERIES.keys() - oracle.QUERIES.keys() == WITHOUT_SQL
+    assert QUERIES.keys() <= contract.queries().keys() and oracle.QUERIES.items() <= contract.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle.QUERIES))
 def test_query_equals_its_sql(spark, other_engine, name):
-    df = contract.queries()[name](spark, SF)
-    result = other_engine.sql(contract.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    result = other_engine.sql(oracle.QUERIES[name])
     names = sorted(result.columns)
     assert sorted(df.columns) == names
     mine = sorted(([r[c] for c in names] for r in df.collect()), key=_key)
@@ -53,7 +56,7 @@ def test_query_equals_its_sql(spark, other_engine, name):
 
 @pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
 def test_text_queries_give_rows(spark, name):
-    assert contract.queries()[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry_runs(spark):
