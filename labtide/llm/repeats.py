@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labtide.llm.common import settled
 from labtide.llm.shingling import BASES, Rolling, WordHashes, binary, chunks, sliding_min, spaced
 
 WINDOW = 50
@@ -101,7 +102,10 @@ def repeated_spans(docs: DataFrame, placed: DataFrame, window: int = WINDOW, anc
 
     `placed` holds doc_id and text of the documents with an id, partitioned by doc_id.
     """
-    parsed = runs(docs, window, anchor)
+    every = runs(docs, window, anchor)
+    met_blocks = every.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    # only blocks that several documents meet in go on
+    parsed = settled(every.join(met_blocks.select("anchor"), "anchor", "left_semi"))
     contents = parsed.groupBy("anchor", "content").agg(F.min("doc_id").alias("earliest"))
     blocks = contents.groupBy("anchor").agg(F.min("earliest").alias("least"), F.max("earliest").alias("most"))
     blocks = blocks.where(F.col("most") > F.col("least")).select("anchor", F.lit(True).alias("mixed"))
