@@ -31,13 +31,13 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20  # per cent of words in repeated passages
 PASSAGE = 5
 LEAST_ROWS = 100
-#: Squared distance beyond which a document is an outlier (five dimensions).
-CUTOFF = 60.0
+#: Squared distance beyond which a document is an outlier: about the 0.9999 quantile of chi-square in five dimensions.
+CUTOFF = 25.0
 STEPS = 3
 #: Fixed-point steps per unit of the logarithmic scale.
 UNIT = 1000
 #: Smallest spread of each statistic.
-FLOORS = {"x_length": 0.15, "x_symbols": 0.5, "x_lines": 0.7, "x_repeats": 0.7, "x_capitals": 0.4}
+FLOORS = {"x_length": 0.15, "x_symbols": 0.35, "x_lines": 1.2, "x_repeats": 1.2, "x_capitals": 0.4}
 NAMES = list(FLOORS)
 P = len(NAMES)
 #: Makes the covariance of the tightest half estimate that of the whole in five dimensions.
