@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labtide.llm.common import sampled
 from labtide.llm.shingling import BASES, Rolling, WordHashes, binary
 
 #: Labelled documents used to fit.
@@ -135,7 +136,7 @@ def fit(rows: list[tuple]) -> dict:
 def learn(docs: DataFrame, labels: DataFrame, train: Column, limit: int = SAMPLE) -> dict:
     """The fitted machine. `train` is a condition on the doc_id column of `labels`."""
     picked = labels.where(train & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    picked = picked.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    picked = sampled(picked.groupBy("doc_id").agg(F.max("quality").alias("quality")), limit, "doc_id")
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

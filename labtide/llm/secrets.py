@@ -33,7 +33,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labtide.llm.common import least_count, settled
+from labtide.llm.common import least_count, sampled, settled
 
 LEAST = 12
 #: Labelled findings used to train, and words of the dictionary at most.
@@ -175,8 +175,8 @@ def rule_labels(found: DataFrame) -> DataFrame:
 def train(found: DataFrame, labelled: DataFrame, limit: int = TRAIN):
     """A forest, or the share of secrets where the labels are all of one kind."""
     marks = labelled.where("is_secret IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "start").agg(F.max("is_secret").cast("double").alias("label"))
-    rows = found.join(marks, ["doc_id", "start"]).dropDuplicates(["doc_id", "start"])
-    rows = rows.orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start").limit(limit).select("label", array_to_vector("features").alias("vector"))
+    rows = found.join(sampled(marks, limit, "doc_id", "start"), ["doc_id", "start"]).dropDuplicates(["doc_id", "start"])
+    rows = rows.orderBy("doc_id", "start").select("label", array_to_vector("features").alias("vector"))
     rows = settled(rows)
     n, secrets = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or not 0 < secrets < n:

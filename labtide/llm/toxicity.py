@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labtide.llm.common import settled
+from labtide.llm.common import sampled, settled
 
 #: Labelled documents used to learn.
 SAMPLE = 12_000
@@ -142,7 +142,7 @@ def _features(folded: str, found: dict[int, float]) -> tuple[float, float, float
 def _labelled(docs: DataFrame, labels: DataFrame, train: Column, limit: int) -> DataFrame:
     """Text and label of at most `limit` training documents."""
     picked = labels.where(train & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    picked = sampled(picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), limit, "doc_id")
     return settled(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")))
 
 
