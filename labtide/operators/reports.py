@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labtide.functions import profiles
 from labtide.operators import detectors, layout as sizing, long_series, points, series, signals
 from labtide.operators.normalise import readings as to_readings
 from labtide.options import Options
 
+BASELINE_LEVEL = 0.95  # coverage of the personal reference interval
+
 
 def short_facts(readings: DataFrame, demographics: DataFrame | None, plan: sizing.Layout, options: Options) -> DataFrame:
     """Detector facts of the series that fit in one row."""
@@ -72,23 +75,24 @@ def all_points(
 
 
 def nested(reports_: DataFrame) -> DataFrame:
-    """The report as one nested row per series. Points stay a table of their own (``all_points``),
-    so that no series has to fit in one row; the last twelve are kept."""
+    """The report as one nested row per series. Its points (``all_points``) and reference change jumps
+    (``points.jumps``) are tables of their own, whole and with the same key, so that no series has to fit in a row."""
 
     def part(present, **fields):
         return F.when(present, F.struct(*[F.col(c).alias(n) for n, c in fields.items()]))
 
     has = lambda c: F.col(c).isNotNull()
-    return reports_.select(
+    fixed = {"reviewed": F.lit(profiles.REVIEWED), "level": F.lit(BASELINE_LEVEL)}
+    return reports_.withColumns(fixed).select(
         "patient_id", "code", "derived", "unit", "as_of", "window_days", "n",
         part(has("analyte"), code="analyte", loinc="loinc", display="display", cvi="cvi", cva="cva",
-             cvi_source="cvi_source", cva_source="cva_source").alias("analyte"),
+             cvi_source="cvi_source", cva_source="cva_source", reviewed="reviewed").alias("analyte"),
         part(has("latest_t"), t="latest_t", v="latest_v").alias("latest"),
         F.struct("after_as_of", "unit_unknown").alias("excluded"),
         part(has("pop_low"), low="pop_low", high="pop_high", source="pop_source").alias("population"),
-        "thresholds",
+        F.array_sort("thresholds", lambda a, b: a.ord - b.ord).alias("thresholds"),
         part(has("base_n"), n="base_n", **{"from": "base_from"}, to="base_to", set_point="set_point",
-             prri_low="prri_low", prri_high="prri_high").alias("baseline"),
+             prri_low="prri_low", prri_high="prri_high", level="level").alias("baseline"),
         part(has("rcv_up"), up="rcv_up", down="rcv_down").alias("rcv"),
         part(has("ewma_value"), value="ewma_value", low="ewma_low", high="ewma_high").alias("ewma"),
         part(has("cp_t"), t="cp_t", detected_t="cp_detected_t", before="set_point", after="cp_after",
@@ -96,5 +100,5 @@ def nested(reports_: DataFrame) -> DataFrame:
         part(F.col("trend_done"), n="trend_n", **{"from": "trend_from"}, slope_per_day="sen_slope",
              ci_low_per_day="sen_low", ci_high_per_day="sen_high", change_per_year="change_per_year", tau="mk_tau",
              p_value="mk_p", direction="direction").alias("trend"),
-        "recent", "signals", "not_assessed", "status",
+        "signals", "not_assessed", "status",
     )

@@ -368,6 +368,25 @@ QUERIES: dict[str, str] = {
           SELECT event_id, ((value - 10) / 5) / {_s(SQRT2)} AS x, 1 / (1 + 0.5 * abs((value - 10) / 5) / {_s(SQRT2)}) AS t FROM events))""",
     "threshold_hits": sql(f"SELECT {KEY}, ord, direction, severity, round(lim, 6) AS threshold, label FROM hits"),
     "signals": sql(f"SELECT {KEY}, position, rule, severity, t, {r('value', 'threshold')} FROM signals"),
+    "signals_as_of": sql(f"SELECT {KEY}, position, rule, severity, t, {r('value', 'threshold')} FROM signals").replace(
+        "AS t FROM lab1", "AS t FROM lab1 WHERE 1640995200 + s <= 1672531199"
+    ),
+    "signals_odd_values": sql(f"SELECT {KEY}, position, rule, severity, t, {r('value', 'threshold')} FROM signals").replace(
+        "FROM obs o LEFT JOIN analytes",
+        "FROM (SELECT * REPLACE (CASE t % 23 WHEN 0 THEN -value WHEN 1 THEN 0 ELSE value END AS value) FROM obs WHERE t % 23 <> 2) o"
+        " LEFT JOIN analytes",
+    ),
+    "trends_window": sql(f"SELECT {KEY}, trend_n, trend_from, {r('change_per_year', 'mk_p')}, direction FROM tr").replace(
+        "as_of - 1095 * 86400", "as_of - 90 * 86400"
+    ),
+    "report_fields": sql(
+        f"SELECT {KEY}, coalesce(l.n, 0) AS n, latest_t, {r('latest_v')}, base_n, base_from, base_to,"
+        f" {r('set_point', 'prri_low', 'prri_high', 'rcv_up', 'rcv_down', 'ewma_value', 'ewma_low', 'ewma_high')},"
+        " cp_t, cp_detected_t, round(cp.after, 6) AS cp_after, round(cp.after / cp.before - 1, 6) AS cp_change,"
+        " CASE status_rank WHEN 2 THEN 'alert' WHEN 1 THEN 'watch' ELSE 'normal' END AS status"
+        f" FROM ser LEFT JOIN latest l USING ({KEY}) LEFT JOIN base USING ({KEY}) LEFT JOIN (SELECT DISTINCT {KEY}, rcv_up, rcv_down FROM lp"
+        f" WHERE n >= 2) USING ({KEY}) LEFT JOIN ew USING ({KEY}) LEFT JOIN cp USING ({KEY}) LEFT JOIN status USING ({KEY})"
+    ),
     "signals_prri": signal("prri"),
     "signals_rcv": signal("rcv"),
     "signals_shift": signal("shift"),

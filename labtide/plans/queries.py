@@ -352,6 +352,39 @@ def trends(spark, sf_dir):
     return _trend(spark, sf_dir, *long("trend_n"), "trend_from", *r("change_per_year", "mk_p"), "direction")
 
 
+def trends_window(spark, sf_dir):
+    """Trends over 90 days, which most series outlast."""
+    rows = _reports(spark, sf_dir, Options(window_days=90)).select(
+        *KEY, *long("trend_n"), "trend_from", *r("change_per_year", "mk_p"), "direction", "trend_done"
+    )
+    return settled(rows).where("trend_done").drop("trend_done")
+
+
+def signals_as_of(spark, sf_dir):
+    rows = signals.explode_signals(_reports(spark, sf_dir, AS_OF_2022))
+    return rows.select(*KEY, *long("position"), "rule", "severity", "t", *r("value", "threshold"))
+
+
+def signals_odd_values(spark, sf_dir):
+    """The detectors over results of which some are negative, zero or not a number."""
+    turn = F.floor(F.unix_micros("taken_at") / 1_000_000) % 23
+    odd = F.when(turn == 0, -F.col("value")).when(turn == 1, 0.0).when(turn == 2, float("nan")).otherwise(F.col("value"))
+    rows = signals.explode_signals(
+        reports.reports(adapter.observations(spark, sf_dir).withColumn("value", odd), adapter.demographics(spark, sf_dir), DEFAULT)
+    )
+    return rows.select(*KEY, *long("position"), "rule", "severity", "t", *r("value", "threshold"))
+
+
+def report_fields(spark, sf_dir):
+    """Every number of a report that is not a list, one row per series."""
+    return _reports(spark, sf_dir).select(
+        *KEY, *long("n"), "latest_t", *r("latest_v"), *long("base_n"), "base_from", "base_to",
+        *r("set_point", "prri_low", "prri_high"),
+        *[F.when(F.col("n") >= 2, F.round(c, 6)).alias(c) for c in ("rcv_up", "rcv_down")],
+        *r("ewma_value", "ewma_low", "ewma_high"), "cp_t", "cp_detected_t", *r("cp_after", "cp_change"), "status",
+    )
+
+
 def normal_cdf_values(spark, sf_dir):
     rows = adapter.table(spark, sf_dir, "events")
     return rows.select("event_id", F.round(normal_cdf((F.col("value") - 10.0) / 5.0), 6).alias("cdf"))
@@ -536,7 +569,7 @@ QUERIES = {
             parse_taken_at, csv_rejects, fhir_skip_reasons, fhir_observations, fhir_patients, skip_histogram,
             idempotent_insert, upload_summary, upsert_demographics, dedupe_results, plausibility,
             series_as_recorded, exclusions, as_of_exclusions, latest_results, recent_results, baselines, rcv_limits,
-            rcv_jumps, change_points, ewma, mann_kendall, sen_slope, trends, threshold_hits, egfr_values, egfr_series,
+            rcv_jumps, change_points, ewma, mann_kendall, sen_slope, trends, trends_window, signals_as_of, signals_odd_values, report_fields, threshold_hits, egfr_values, egfr_series,
             egfr_not_derived, kdigo_stage, series_status, deciding_rule, not_assessed, drift_reports, review_fold,
             signal_reviews, unreviewed_signals, stale_reviews, review_snapshots, identifier_screen, review_rejects,
             point_annotations, series_table, explain_context, stub_drafts, draft_audit,
