@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtide.operators.barrier import settled
 from labtide.session import configure
 
 EPOCH_2024 = 1_704_067_200
@@ -91,7 +90,7 @@ def lab_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.expr(f"{EPOCH_2022}L + s").alias("t"),
         )
     )
-    return settled(rows)
+    return rows
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,13 +263,13 @@ CTES: dict[str, str] = {
             QUALIFY row_number() OVER (PARTITION BY q.patient_id, q.code, q.derived, q.idx ORDER BY t.rank DESC, t.ord DESC) = 1) h
           ON h.patient_id = p.patient_id AND h.code = p.code AND h.derived = p.derived AND h.idx = p.idx""",
     # the same results as FHIR resources, one defect per event_id % 14
-    "fhir": """SELECT event_id, patient_id, value, t, CASE code WHEN 'HBA1C' THEN '4548-4' WHEN 'LDL' THEN '18262-6'
+    "fhir": """SELECT event_id, patient_id, value, unit, t, CASE code WHEN 'HBA1C' THEN '4548-4' WHEN 'LDL' THEN '18262-6'
           WHEN 'TSH' THEN '3016-3' WHEN 'CREAT' THEN '38483-4' ELSE '9999-9' END AS loinc,
-        CASE event_id % 14 WHEN 1 THEN 'status entered-in-error is not final/amended/corrected' WHEN 2 THEN 'no LOINC coding'
+        CASE event_id % 14 WHEN 1 THEN 'status preliminary is not final/amended/corrected' WHEN 2 THEN 'no LOINC coding'
           WHEN 3 THEN 'no valueQuantity (coded and component results are not imported)'
-          WHEN 4 THEN 'valueQuantity without a unit' WHEN 5 THEN 'effectiveDateTime 2026-03 is not a full date or a date-time with offset'
-          WHEN 6 THEN 'effectiveDateTime 2026-03-01T09:30:00 is not a full date or a date-time with offset'
-          WHEN 7 THEN 'subject Group/g1 is not a Patient' WHEN 8 THEN 'not a valid Observation'
+          WHEN 4 THEN 'valueQuantity without a unit' WHEN 5 THEN 'effectiveDateTime 2023-07 is not a full date or a date-time with offset'
+          WHEN 6 THEN 'effectiveDateTime 2023-07-14T22:10:45 is not a full date or a date-time with offset'
+          WHEN 7 THEN 'subject Location/ward-2 is not a Patient' WHEN 8 THEN 'not a valid Observation'
           WHEN 9 THEN 'valueQuantity without a value' WHEN 10 THEN 'no effectiveDateTime' WHEN 11 THEN 'no subject reference'
           ELSE CASE WHEN code = 'XERR' THEN 'no analyte profile for LOINC 9999-9' END END AS reason FROM obs""",
     # upload spellings of the same results
@@ -485,7 +485,7 @@ QUERIES: dict[str, str] = {
     ),
     "fhir_skip_reasons": sql("SELECT event_id, reason AS skip_reason FROM fhir"),
     "fhir_observations": sql(
-        "SELECT event_id, patient_id, coalesce(c.analyte, f.loinc) AS code, round(value, 6) AS value, t FROM fhir f"
+        "SELECT event_id, patient_id, coalesce(c.analyte, f.loinc) AS code, round(value, 6) AS value, unit, t FROM fhir f"
         " LEFT JOIN codes c ON c.lookup_key = f.loinc WHERE reason IS NULL"
     ),
     "fhir_patients": """SELECT 'P' || c_custkey AS patient_id,

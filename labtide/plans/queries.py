@@ -21,6 +21,8 @@ from labtide.sources import csv, fhir
 
 KEY = ["patient_id", "code", "derived"]
 DEFAULT = Options()
+#: eGFR, measured or derived, comes from these.
+KIDNEY = ("CREAT", "EGFR")
 AS_OF_2022 = Options(as_of=1_672_531_199)
 STORED_BEFORE = 1_685_577_600
 
@@ -36,15 +38,21 @@ def _plan(spark: SparkSession, sf_dir: str) -> layout.Layout:
     return _layout(spark.sparkContext.applicationId, sf_dir)
 
 
-def _facts(spark, sf_dir, options=DEFAULT) -> DataFrame:
+def _observations(spark, sf_dir, codes=()) -> DataFrame:
+    """All results, or those of some codes: the filter reaches the scan and nothing else is shuffled."""
+    rows = adapter.observations(spark, sf_dir)
+    return rows.where(F.col("code").isin(*codes)) if codes else rows
+
+
+def _facts(spark, sf_dir, options=DEFAULT, codes=()) -> DataFrame:
     return reports.facts(
-        adapter.observations(spark, sf_dir), adapter.demographics(spark, sf_dir), options, _plan(spark, sf_dir)
+        _observations(spark, sf_dir, codes), adapter.demographics(spark, sf_dir), options, _plan(spark, sf_dir)
     )
 
 
-def _reports(spark, sf_dir, options=DEFAULT) -> DataFrame:
+def _reports(spark, sf_dir, options=DEFAULT, codes=()) -> DataFrame:
     return reports.reports(
-        adapter.observations(spark, sf_dir), adapter.demographics(spark, sf_dir), options, _plan(spark, sf_dir)
+        _observations(spark, sf_dir, codes), adapter.demographics(spark, sf_dir), options, _plan(spark, sf_dir)
     )
 
 
@@ -52,9 +60,9 @@ def _signals(spark, sf_dir) -> DataFrame:
     return signals.explode_signals(_reports(spark, sf_dir))
 
 
-def _points(spark, sf_dir) -> DataFrame:
+def _points(spark, sf_dir, codes=()) -> DataFrame:
     return reports.all_points(
-        adapter.observations(spark, sf_dir), adapter.demographics(spark, sf_dir), DEFAULT, _plan(spark, sf_dir)
+        _observations(spark, sf_dir, codes), adapter.demographics(spark, sf_dir), DEFAULT, _plan(spark, sf_dir)
     )
 
 
@@ -150,21 +158,23 @@ def _fhir_resources(spark, sf_dir) -> DataFrame:
         " WHEN 'CREAT' THEN '38483-4' ELSE '9999-9' END"
     )
     system = F.when(k == 2, "http://snomed.info/sct").otherwise(fhir.LOINC)
+    coded = F.expr("event_id % 2 = 0")
     quantity = F.struct(
         F.when(k != 9, F.col("value")).alias("value"),
-        F.when(k != 4, F.col("unit")).alias("unit"),
-        F.when(F.expr("event_id % 2 = 0"), fhir.UCUM).alias("system"),
-        F.when(k != 4, F.col("unit")).alias("code"),
+        # the coded unit counts under UCUM, the written one otherwise; the other of the two says something else
+        F.when(k != 4, F.when(coded, "as coded").otherwise(F.col("unit"))).alias("unit"),
+        F.when(coded, fhir.UCUM).alias("system"),
+        F.when(k != 4, F.when(coded, F.col("unit")).otherwise("local-unit")).alias("code"),
     )
     offset = F.concat(F.substring(iso_instant(F.col("t") + 7200), 1, 19), F.lit("+02:00"))
-    time = F.when(k == 5, "2026-03").when(k == 6, "2026-03-01T09:30:00").otherwise(offset)
-    reference = F.when(k == 7, "Group/g1").when(
+    time = F.when(k == 5, "2023-07").when(k == 6, "2023-07-14T22:10:45").otherwise(offset)
+    reference = F.when(k == 7, "Location/ward-2").when(
         F.expr("event_id % 2 = 0"), F.concat(F.lit("Patient/"), "patient_id")
     ).otherwise(F.concat(F.lit("urn:uuid:"), "patient_id"))
     body = F.struct(
         F.lit("Observation").alias("resourceType"),
         F.col("event_id").cast("string").alias("id"),
-        F.when(k == 1, "entered-in-error").when(F.expr("event_id % 3 = 0"), "amended").otherwise("final").alias("status"),
+        F.when(k == 1, "preliminary").when(F.expr("event_id % 3 = 0"), "amended").otherwise("final").alias("status"),
         F.struct(
             F.array(
                 F.struct(F.lit("http://snomed.info/sct").alias("system"), F.lit("1").alias("code")),
@@ -195,7 +205,7 @@ def fhir_skip_reasons(spark, sf_dir):
 def fhir_observations(spark, sf_dir):
     kept = _fhir_checked(spark, sf_dir).where("skip_reason IS NULL")
     return kept.select(
-        F.col("position").alias("event_id"), "patient_id", "code", *r("value"), F.unix_timestamp("taken_at").alias("t")
+        F.col("position").alias("event_id"), "patient_id", "code", *r("value"), "unit", F.unix_timestamp("taken_at").alias("t")
     )
 
 
@@ -422,22 +432,22 @@ def signal_explanations(spark, sf_dir):
 
 
 def egfr_values(spark, sf_dir):
-    rows = _points(spark, sf_dir).where("derived")
+    rows = _points(spark, sf_dir, KIDNEY).where("derived")
     return rows.select("patient_id", "t", *r("v"))
 
 
 def egfr_series(spark, sf_dir):
-    rows = _facts(spark, sf_dir).where("derived")
+    rows = _facts(spark, sf_dir, codes=KIDNEY).where("derived")
     return rows.select("patient_id", *long("n"), "latest_t", *r("latest_v"))
 
 
 def egfr_not_derived(spark, sf_dir):
-    rows = _facts(spark, sf_dir).select("patient_id", F.col("creat_note").alias("reason"))
+    rows = _facts(spark, sf_dir, codes=KIDNEY).select("patient_id", F.col("creat_note").alias("reason"))
     return rows.where("reason IS NOT NULL AND reason <> 'derived'")
 
 
 def kdigo_stage(spark, sf_dir):
-    rows = _reports(spark, sf_dir).where("code = 'EGFR'")
+    rows = _reports(spark, sf_dir, codes=KIDNEY).where("code = 'EGFR'")
     return rows.select("patient_id", *r("latest_v"), F.coalesce("hit_below.label", F.lit("G1-G2")).alias("stage"))
 
 

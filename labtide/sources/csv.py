@@ -115,6 +115,8 @@ def read_csv(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataF
     accepted, rejected = split(checked_rows(text_rows(spark.read, path)))
     if strict:
         worst = rejected.agg(F.min_by(F.struct("reject_reason", "seq"), "seq").alias("first")).first()["first"]
+        if worst is None and accepted.isEmpty():
+            raise ValueError(f"no rows in {path}")
         if worst is not None:
             raise ValueError(f"row {worst['seq']['row']} of {worst['seq']['file']}: {worst['reject_reason']}")
     return accepted, rejected
