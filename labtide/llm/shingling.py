@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +12,9 @@ import xxhash
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _MASK = (1 << 64) - 1
 #: Words whose hashes a task keeps at hand.
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 250_000
 #: Words handled at a time; one longer text is handled alone.
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 200_000
 
 
 class WordHashes(dict):
@@ -76,11 +76,13 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def binary(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+def binary(column: pa.Array) -> Iterator[bytes | None]:
+    """The texts as UTF-8, one at a time."""
+    for value in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()):
+        yield value.as_py()
 
 
-def chunks(texts: list[bytes | None], split) -> Iterator[tuple[int, list[list[bytes]]]]:
+def chunks(texts: Iterable[bytes | None], split) -> Iterator[tuple[int, list[list[bytes]]]]:
     """Neighbouring texts as word lists, about CHUNK_WORDS at a time, with the index of the first."""
     first, held, words = 0, [], 0
     for i, text in enumerate(texts):

@@ -77,12 +77,12 @@ def test_trees_lose_no_link():
         sets.append(np.unique(np.concatenate([middle[r.random(len(middle)) < 0.9], r.integers(0, 2**63, 8, dtype=np.int64).astype(np.uint64)])))
     group = pa.table({
         "doc_id": np.arange(120), "component": np.arange(120), "n": np.array([len(s) for s in sets], np.int32),
-        "bits": pa.array([jaccard.bitmap(s) for s in sets], pa.binary()), "block": np.arange(120) % 2, "one": np.zeros(120, int), "two": np.ones(120, int),
+        "bits": pa.array([jaccard.bitmap(s) for s in sets], pa.binary()), "block": np.arange(120) % 2,
     })
     found = set()
     for one, two in ((0, 0), (0, 1), (1, 1)):
         part = group.filter(pa.array([b in (one, two) for b in (np.arange(120) % 2)]))
-        part = part.set_column(5, "one", pa.array([one] * len(part))).set_column(6, "two", pa.array([two] * len(part)))
+        part = part.append_column("one", pa.array([one] * len(part))).append_column("two", pa.array([two] * len(part))).append_column("key", pa.array([7] * len(part)))
         pairs = jaccard.tree_pairs(part, 75)
         found |= set(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()))
     truth = {
