@@ -82,7 +82,7 @@ def test_trees_lose_no_link():
     found = set()
     for one, two in ((0, 0), (0, 1), (1, 1)):
         part = group.filter(pa.array([b in (one, two) for b in (np.arange(120) % 2)]))
-        part = part.append_column("one", pa.array([one] * len(part))).append_column("two", pa.array([two] * len(part))).append_column("key", pa.array([7] * len(part)))
+        part = part.append_column("one", pa.array([one] * len(part))).append_column("two", pa.array([two] * len(part))).append_column("key", pa.array([7] * len(part))).append_column("keys", pa.array([[7, 9]] * len(part)))
         pairs = jaccard.tree_pairs(part, 75)
         found |= set(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()))
     truth = {
