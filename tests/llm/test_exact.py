@@ -234,3 +234,16 @@ def test_language_model_is_a_distribution(docs, monkeypatch):
     brute_base = brute.unigram_base(PAIRS, lambda d: False)
     for r in maxent.score(docs, known, rare, weights).collect():
         assert r.base_score == pytest.approx(brute_base[r.doc_id][3]) and r.n_known == brute_base[r.doc_id][1]
+
+
+def test_frequent_words_fall_into_eight_ranges(spark):
+    text = " ".join(f"w{i} " * 2**i for i in range(10))
+    known, _ = maxent.vocabulary(spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA), F.lit(True))
+    assert len(set(known["class"].tolist())) == 8
+
+
+def test_clusters_are_the_best_of_four_starts(monkeypatch):
+    seeds, real = [], np.random.default_rng
+    monkeypatch.setattr(np.random, "default_rng", lambda seed: seeds.append(seed) or real(seed))
+    maxent._mixture([(np.array([i, i + 1]), np.array([2, 3])) for i in range(20)])
+    assert seeds == [0, 1, 2, 3]
