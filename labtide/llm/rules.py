@@ -36,8 +36,9 @@ CUTOFF = 25.0
 STEPS = 3
 #: Fixed-point steps per unit of the logarithmic scale.
 UNIT = 1000
-#: Smallest spread of each statistic.
-FLOORS = {"x_length": 0.15, "x_symbols": 0.35, "x_lines": 1.2, "x_repeats": 1.2, "x_capitals": 0.4}
+#: Smallest spread of each statistic. Each is well under a fifth (the root of the cutoff) of what its statistic can
+#: reach, log(101) for a share and log(21) for repeats within the plain limit, so that each can reject alone.
+FLOORS = {"x_length": 0.15, "x_symbols": 0.35, "x_lines": 0.7, "x_repeats": 0.55, "x_capitals": 0.4}
 NAMES = list(FLOORS)
 P = len(NAMES)
 #: Makes the covariance of the tightest half estimate that of the whole in five dimensions.

@@ -208,6 +208,27 @@ def test_robust_distances(spark):
     assert all(found[i].kept == bool(i % 12) for i in found)
 
 
+def test_each_statistic_rejects_alone(spark):
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    line = lambda size=6: " ".join(word(size) for _ in range(10))
+    lines_of = lambda size=6: [line(size) for _ in range(40)]
+    clean = ["\n".join(lines_of()) for _ in range(200)]
+    marked = lambda part: "\n".join(" ".join(part(w) if i % 2 else w for i, w in enumerate(x.split())) for x in lines_of())
+    passage = "\n".join(lines_of()[:3])
+    planted = {
+        "x_length": "\n".join(lines_of(18)),
+        "x_symbols": marked(lambda w: w[:5] + "#"),
+        "x_lines": "\n".join(f"{x}\nread more" for x in lines_of()),
+        "x_repeats": "\n".join([*lines_of()[:20], "a " + passage.replace("\n", " a "), *lines_of()[:12], "b " + passage.replace("\n", " a ")]),
+        "x_capitals": marked(lambda w: w[:4] + w[4:].upper()),
+    }
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*clean, *planted.values()])]
+    found = {x.doc_id: x for x in rules.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(x.base_failed for x in found.values()) and all(found[i].kept for i in range(len(clean)))
+    assert [n for i, n in enumerate(planted, len(clean)) if found[i].kept] == []
+
+
 def test_language_model(spark, docs):
     held_out = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
