@@ -138,4 +138,96 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
-QUERIES = {"op1_mixture": OP1, "op4_jaccard_join": OP4, "op5_substring_dedup": OP5, "op6_line_dedup": OP6, "op8_decontamination": OP8}
+OP11 = f"""
+WITH RECURSIVE steps(b, v, n) AS (
+  SELECT b, b, 0 FROM range(256) t(b)
+  UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM steps WHERE n < 8
+), bytes AS (
+  SELECT list(v ORDER BY b) AS t FROM steps WHERE n = 8
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all({_translate("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT regexp_extract_all({_translate("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), doc_runs AS (
+  SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS run FROM doc_words
+), item_runs AS (
+  SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS run FROM item_words
+), runs AS (
+  SELECT run, hex(encode(run)) AS h FROM (SELECT run FROM doc_runs UNION SELECT run FROM item_runs)
+), hashed AS (
+  SELECT run, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT),
+    lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM runs, bytes
+), doc_buckets AS (
+  SELECT doc_id, bucket, count(*) AS n FROM doc_runs JOIN hashed USING (run) GROUP BY doc_id, bucket
+), counts AS (
+  SELECT bucket, sum(s) AS s, sum(t) AS t FROM (
+    SELECT bucket, n AS s, 0 AS t FROM doc_buckets
+    UNION ALL SELECT bucket, 0, count(*) FROM item_runs JOIN hashed USING (run) GROUP BY bucket) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE)))::BIGINT AS gain FROM counts
+), weighed AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM doc_buckets JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+    coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM doc_words d LEFT JOIN weighed USING (doc_id)
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT s.doc_id, s.n_features, s.weight, s.weight + s.noise AS score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank
+FROM scored s LEFT JOIN placed p USING (doc_id)
+"""
+
+
+def _clustering(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of assignment and floored means, one after the other."""
+
+    def assigned(at: int) -> str:
+        return f"""assigned{at} AS (
+  SELECT row, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM (
+    SELECT r.row, c.cluster, list_sum(list_transform(list_zip(r.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance
+    FROM rows r, centroids{at} c) GROUP BY row
+)"""
+
+    def moved(at: int) -> str:
+        return f"""sums{at} AS (
+  SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (
+    SELECT a.cluster, unnest(r.v) AS x, generate_subscripts(r.v, 1) AS i FROM assigned{at - 1} a JOIN rows r USING (row)) GROUP BY cluster, i
+), means{at} AS (
+  SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM sums{at} GROUP BY cluster
+), centroids{at} AS (
+  SELECT cluster, coalesce(m.v, c.v) AS v FROM centroids{at - 1} c LEFT JOIN means{at} m USING (cluster)
+)"""
+
+    steps = [assigned(0)]
+    for at in range(1, rounds + 1):
+        steps += [moved(at), assigned(at)]
+    return f"""
+WITH rows AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = 64
+), centroids0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), vec_id, v) - 1 AS cluster, v FROM rows
+  QUALIFY cluster < {k}
+), {", ".join(steps)}
+SELECT r.vec_id, a.cluster::INTEGER AS cluster, a.distance,
+       sum(a.distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia, sum(a.distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM assigned{rounds} a JOIN rows r USING (row) JOIN centroids{rounds} c USING (cluster)
+"""
+
+
+OP13 = _clustering()
+
+QUERIES = {
+    "op1_mixture": OP1,
+    "op4_jaccard_join": OP4,
+    "op5_substring_dedup": OP5,
+    "op6_line_dedup": OP6,
+    "op8_decontamination": OP8,
+    "op11_resampling": OP11,
+    "op13_centroids": OP13,
+}

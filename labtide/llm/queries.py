@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtide.llm import decontaminate, jaccard, lines, maxent, mixing, quality, repeats, rules, secrets, toxicity
-from labtide.llm.common import settled, table, train_bucket
+from labtide.llm import (
+    centroids,
+    decontaminate,
+    jaccard,
+    lines,
+    maxent,
+    mixing,
+    packed,
+    quality,
+    repeats,
+    resampling,
+    rules,
+    secrets,
+    toxicity,
+)
+from labtide.llm.common import settled, shared_folder, table, train_bucket
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +91,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (table(spark, sf_dir, name).select(key, "text") for name, key in (("documents", "doc_id"), ("benchmark", "item_id")))
+    weights = resampling.gains(resampling.bucket_counts(docs), resampling.bucket_counts(target))
+    found = resampling.resampled(resampling.scores(docs, weights))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    packed.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    found = packed.read(spark, path, dict(docs.dtypes)["doc_id"])
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = centroids.kept(table(spark, sf_dir, "embeddings"))
+    fitted = centroids.fit(vectors)
+    found = centroids.with_inertia(settled(centroids.assign(vectors, fitted)))
+    digests = F.array(*[F.lit(centroids.digest(c)) for c in fitted] or [F.lit("")])
+    return found.select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+        F.element_at(digests, F.col("cluster") + 1).alias("centroid_sha256"),
+    )
+
+
 QUERIES = {
     "op1_mixture": op1_mixture,
     "op2_secret_scan": op2_secret_scan,
@@ -86,4 +129,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
+    "op11_resampling": op11_resampling,
+    "op12_packed_ids": op12_packed_ids,
+    "op13_centroids": op13_centroids,
 }

@@ -29,7 +29,7 @@ def other_engine():
 
 
 def test_everything_is_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {name[: name.index("_") + 1] for name in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {name[: name.index("_") + 1] for name in queries.QUERIES}
     assert {*queries.QUERIES, "pipeline"} <= contract.queries().keys() and oracle.QUERIES.items() <= contract.oracle_sql().items()
 
 
