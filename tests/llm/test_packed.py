@@ -1,9 +1,11 @@
 """Packed token ids: bits, files, random access, and the whole round trip against the tokenizer."""
 
 import glob
+import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,9 +13,12 @@ from hypothesis import strategies as st
 from labtide.llm import packed, queries
 from labtide.llm.common import table
 
-public_tokenizers = pytest.importorskip("public_tokenizers")
+public_tokenizers, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER = tokenizers.Tokenizer.from_file(VOCABULARY)
+PARTS = [*" \t\n\r\x0b\x1c\x85\xa0\u2028\u3000\u200b\u0301'sdl.,!#<|>", "a", "é", "漢", "5", "🎈", "'ll ", " \n ", "<|endoftext|>", " the"]
+ENCODER = packed.Encoder(open(VOCABULARY, encoding="utf-8").read(), "<u2")
 
 
 @settings(max_examples=60, deadline=None)
@@ -48,16 +53,35 @@ def test_any_range_of_a_shard(sizes, block_ids, width, data):
     assert shard.ids(low, high).tolist() == every[low:high].tolist()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=40).map("".join), max_size=6))
+def test_pieces_have_the_ids_of_the_whole_text(texts):
+    ids = [np.frombuffer(x, "<u2").tolist() for x in ENCODER(pa.array(texts, pa.string()), b"\7\0").to_pylist()]
+    assert ids == [[*TOKENIZER.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+
+
+def test_only_plain_byte_level_files_are_cut():
+    plain = open(VOCABULARY, encoding="utf-8").read()
+    assert packed.cut_at_spaces(plain) and not packed.cut_at_spaces(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    for change in [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True}), ("added_tokens", [{"content": "x y", "lstrip": False, "rstrip": False, "single_word": False}])]:
+        assert not packed.cut_at_spaces(json.dumps({**json.loads(plain), change[0]: change[1]}))
+
+
+def test_another_tokenizer_with_whole_texts(spark, tmp_path):
+    file = public_tokenizers.path("word_bpe_49k.json")
+    packed.write(spark.createDataFrame([(1, "Some  words, HERE"), (2, None)], "doc_id long, text string"), str(tmp_path / "w"), file, end_id=49407)
+    rows = packed.read(spark, str(tmp_path / "w"), "long").orderBy("start").collect()
+    ids = [np.frombuffer(r.ids, "<u4").tolist() for r in rows]
+    assert ids == [[*tokenizers.Tokenizer.from_file(file).encode("Some  words, HERE", add_special_tokens=False).ids, 49407], [49407]]
+
+
 def test_other_files_are_refused():
     with pytest.raises(ValueError, match="packed"):
         packed.Shard(b"x" * 100)
 
 
 def _expected(docs):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(VOCABULARY)
-    found = [(d, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]) for d, t in docs]
+    found = [(d, [*TOKENIZER.encode(t or "", add_special_tokens=False).ids, 0]) for d, t in docs]
     at, out = 0, []
     for d, ids in sorted(found, key=lambda x: (x[0] is None, x[0] or 0, len(x[1]))):
         out.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -74,7 +98,7 @@ def test_odd_documents_over_small_shards(spark, tmp_path):
             *[(40, "same text")] * 50, *[(None, "without id")] * 20, (7, "x" * 5000)]
     df = spark.createDataFrame([(d, t, "n", "i", "s") for d, t in docs], "doc_id long, text string, n string, ids string, shard string").repartition(4)
     path = str(tmp_path / "ids")
-    packed.write(df, path, VOCABULARY, block_ids=100, shard_ids=5000)
+    packed.write(df, path, VOCABULARY, block_ids=100, shard_bytes=20_000)
     files = [f for f in glob.glob(f"{path}/files/part-*")]
     assert len(files) > 3
     assert _digest(packed.read(spark, path, "long").collect()) == _expected(docs)
