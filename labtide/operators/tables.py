@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labtide.operators.ledger import Commit, Ledger
 from labtide.operators.review import reject_reason
+from labtide.schemas import DEMOGRAPHICS, OBSERVATIONS
+from labtide.session import checkpointed
 
 RESULT_KEY = ["patient_id", "code", "taken_at"]
 
 
-def first_wins(batch: DataFrame, sequence: str) -> DataFrame:
+def first_wins(batch: DataFrame, sequence: str, counted: bool = False) -> DataFrame:
     """One row per result key, the earliest by ``sequence``; combined before the shuffle, so a
-    key repeated millions of times costs each task one row."""
-    rest = [c for c in batch.columns if c not in (*RESULT_KEY, sequence)]
-    picked = batch.groupBy(*RESULT_KEY).agg(F.min_by(F.struct(*rest), sequence).alias("row"))
-    return picked.select(*RESULT_KEY, "row.*")
+    key repeated millions of times costs each task one row. ``counted`` adds up the column ``rows``."""
+    rest = [c for c in batch.columns if c not in (*RESULT_KEY, sequence, *(["rows"] if counted else []))]
+    total = [F.sum("rows").alias("rows")] if counted else []
+    picked = batch.groupBy(*RESULT_KEY).agg(F.min_by(F.struct(*rest), sequence).alias("row"), *total)
+    return picked.select(*RESULT_KEY, "row.*", *(["rows"] if counted else []))
 
 
 def new_results(batch: DataFrame, stored: DataFrame, sequence: str = "seq") -> DataFrame:
@@ -108,27 +114,56 @@ def patient_codes(observations: DataFrame) -> DataFrame:
     return observations.select("patient_id", "code").distinct().orderBy("patient_id", "code")
 
 
-def append_results(spark, path: str, batch: DataFrame, sequence: str = "seq") -> None:
-    """Append the new results of a batch to the stored parquet table, one folder per code.
+def results_ledger(spark, path: str) -> Ledger:
+    return Ledger(spark, path, RESULT_KEY, OBSERVATIONS, time="taken_at")
+
+
+def append_results(spark, path: str, batch: DataFrame, sequence: str = "seq", feed: str | None = None, number: int | None = None) -> Commit:
+    """Append the new results of a batch to the stored table; the first row of a key wins.
 
-    Rebalancing gathers each code into few files and splits a code that holds much of the batch.
+    The store is read in its own buckets and not exchanged (`operators/ledger.py`). Feed and batch number, if
+    given, make a replay harmless; other writers at the same time are fine.
     """
-    stored = read_results(spark, path)
-    new_results(batch, stored, sequence).hint("rebalance", "code").write.mode("append").partitionBy("code").parquet(path)
+    picked = checkpointed(first_wins(batch.withColumn("rows", F.lit(1)), sequence, counted=True))
+    submitted = picked.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    done = results_ledger(spark, path).insert(picked.drop("rows"), feed, number)
+    return Commit(submitted, done.inserted, done.replayed)
 
 
 def read_results(spark, path: str) -> DataFrame:
     """The stored results, or an empty table before the first append."""
-    from labtide.schemas import OBSERVATIONS
+    return results_ledger(spark, path).read()
 
-    if not exists(spark, path):
-        return spark.createDataFrame([], OBSERVATIONS)
-    return spark.read.schema(OBSERVATIONS).parquet(path).select(*OBSERVATIONS.names)
 
+def demographics_ledger(spark, path: str) -> Ledger:
+    return Ledger(spark, path, ["patient_id", "version"], keep=_latest_people)
 
-def exists(spark, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+def _latest_people(log: DataFrame) -> DataFrame:
+    return (
+        log.groupBy("patient_id")
+        .agg(F.max_by(F.struct("gender", "birth_year", "version"), "version").alias("row"))
+        .select("patient_id", "row.*")
+    )
+
+
+def append_demographics(spark, path: str, batch: DataFrame, sequence: str = "seq", feed: str | None = None, number: int | None = None) -> Commit:
+    """Append corrections; the last row of a patient in the last batch wins, nulls included.
+
+    Batches are told apart by the version that the ledger's newest manifest gives them.
+    """
+    ledger = demographics_ledger(spark, path)
+    picked = batch.groupBy("patient_id").agg(F.max_by(F.struct("gender", "birth_year"), sequence).alias("row"))
+    version = F.lit(max(time.time_ns(), ledger.current().number)).alias("version")
+    return ledger.insert(checkpointed(picked.select("patient_id", "row.*", version)), feed, number, once=False)
+
+
+def read_demographics(spark, path: str) -> DataFrame:
+    """Latest row per patient, nulls included; an empty table before the first append."""
+    ledger = demographics_ledger(spark, path)
+    if not ledger.current().generations:
+        return spark.createDataFrame([], DEMOGRAPHICS)
+    return _latest_people(ledger.read()).select(*DEMOGRAPHICS.names)
 
 
 def append_reviews(path: str, accepted: DataFrame) -> None:

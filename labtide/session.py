@@ -20,9 +20,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df):
-    """Cut lineage into the shared checkpoint folder, so a lost executor does not replay the job."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a local session without that setting gets one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,4 +30,10 @@ def checkpointed(df):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="labtide-checkpoints-")  # one machine is all there is
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df):
+    """Cut lineage into the shared checkpoint folder, so a lost executor does not replay the job."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
