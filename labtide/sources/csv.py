@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from labtide.functions.text import stripped
 from labtide.operators.normalise import canonical_codes
 from labtide.schemas import CSV_RAGGED, OBSERVATION_COLUMNS
+from labtide.sources import records
 
-CSV_OPTIONS = {"header": True, "enforceSchema": True, "multiLine": True, "columnNameOfCorruptRecord": "ragged"}
+CSV_OPTIONS = {"escape": '"', "columnNameOfCorruptRecord": "ragged"}
 
 
 def parse_taken_at(raw: Column) -> Column:
@@ -19,53 +20,36 @@ def parse_taken_at(raw: Column) -> Column:
     return F.when(F.rlike(text, F.lit(shape)), text.try_cast("timestamp"))
 
 
-def headers(reader: DataFrameReader, path: str | list[str]) -> DataFrame:
-    """First line of every file, normalised, with whether it is the declared header."""
-    lines = (
-        reader.option("lineSep", "\n")
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("line"),
-            "value",
-        )
-        .where("start = 0")
-    )
-    first = lines.groupBy("file").agg(F.min_by("value", "line").alias("header"))
-    clean = F.regexp_replace(stripped("header"), "^﻿", "")
+def headers(found: DataFrame) -> DataFrame:
+    """First line of every file, normalised, with whether it is the declared header; ``found`` is from `records.blocks`."""
+    clean = F.regexp_replace(stripped("first"), "^\ufeff", "")
     names = F.transform(F.split(clean, ","), lambda c: F.lower(stripped(c)))
-    return first.select(
+    return found.where("start = 0").select(
         "file", F.array_join(names, ", ").alias("got"), F.lit(", ".join(OBSERVATION_COLUMNS)).alias("expected")
     ).withColumn("ok", F.col("got") == F.col("expected"))
 
 
-def check_headers(spark: SparkSession, path: str) -> None:
+def check_headers(found: DataFrame) -> None:
     """Raise on the first file (by name) whose header differs; the driver sees one row."""
-    bad = headers(spark.read, path).where("NOT ok").orderBy("file").first()
+    bad = headers(found).where("NOT ok").orderBy("file").first()
     if bad is not None:
         raise ValueError(f"schema mismatch in {bad['file']}: expected columns {bad['expected']}, got {bad['got']}")
 
 
-def text_rows(reader: DataFrameReader, path: str) -> DataFrame:
+def text_rows(reader: DataFrameReader, path: str | list[str], found: DataFrame) -> DataFrame:
     """All-string rows with their place: file, block and row, comparable as one struct ``seq``.
 
-    ``ragged`` holds the raw text of a row with more or fewer fields than declared. A quoted line
-    break belongs to its field, so a file is read by one task; large feeds come in many files.
+    ``ragged`` holds the raw text of a row with more or fewer fields than declared, or of one beyond any size. A quoted
+    line break belongs to its field, and a large file still spreads over many tasks (`sources/records.py`).
     """
-    return (
-        reader.schema(CSV_RAGGED)
-        .options(**CSV_OPTIONS)
-        .csv(path)
-        .select(
-            *OBSERVATION_COLUMNS,
-            "ragged",
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("start"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("seq"),
-        )
+    text = F.regexp_replace("text", r"\r$", "")
+    rows = records.records(reader, path, found).where("NOT (start = 0 AND row = 0)").withColumn("text", text).where(stripped("text") != "")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CSV_RAGGED)
+    read = rows.withColumn("row_read", F.from_csv("text", F.lit(kinds), CSV_OPTIONS))
+    return read.select(
+        *[F.col("row_read")[c].alias(c) for c in OBSERVATION_COLUMNS],
+        F.when(F.col("long"), F.col("text")).otherwise(F.col("row_read.ragged")).alias("ragged"),
+        F.struct("file", "start", "row").alias("seq"),
     )
 
 
@@ -111,8 +95,9 @@ def read_csv(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataF
 
     ``strict`` refuses the whole upload at its first bad row, as an upload does.
     """
-    check_headers(spark, path)
-    accepted, rejected = split(checked_rows(text_rows(spark.read, path)))
+    found = records.blocks(spark.read, path)
+    check_headers(found)
+    accepted, rejected = split(checked_rows(text_rows(spark.read, path, found)))
     if strict:
         worst = rejected.agg(F.min_by(F.struct("reject_reason", "seq"), "seq").alias("first")).first()["first"]
         if worst is None and accepted.isEmpty():

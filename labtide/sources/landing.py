@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labtide.functions.text import stripped
 from labtide.schemas import OBSERVATION_COLUMNS
-from labtide.sources import csv, fhir
+from labtide.sources import csv, fhir, records
 
 
 def detect_format(body: Column, content_type: Column | None = None) -> Column:
@@ -43,8 +43,9 @@ def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFr
     document that is no Bundle or Observation. The other files load.
     """
     only_csv = lambda: spark.read.option("pathGlobFilter", "*.csv")
-    csv_rows = csv.checked_rows(csv.text_rows(only_csv(), folder))
-    wrong_header = csv.headers(only_csv(), folder).where("NOT ok").select(
+    found = records.blocks(only_csv(), folder)
+    csv_rows = csv.checked_rows(csv.text_rows(only_csv(), folder, found))
+    wrong_header = csv.headers(found).where("NOT ok").select(
         "file", F.concat(F.lit("schema mismatch, got "), F.col("got")).alias("error")
     )
     bad_rows = (

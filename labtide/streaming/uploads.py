@@ -20,9 +20,8 @@ from labtide.operators import reports, signals, tables
 from labtide.operators.ledger import Ledger
 from labtide.operators.normalise import SERIES
 from labtide.options import Options
-from labtide.schemas import CSV_RAGGED
 from labtide.session import checkpointed
-from labtide.sources import csv, fhir
+from labtide.sources import csv, fhir, records
 
 #: Files of one micro-batch, whose names pass the driver.
 FILES = 1000
@@ -60,8 +59,9 @@ def _place() -> list:
 
 
 def csv_uploads(spark: SparkSession, folder: str, files: int = FILES) -> DataFrame:
-    raw = spark.readStream.option("maxFilesPerTrigger", files).schema(CSV_RAGGED).options(**csv.CSV_OPTIONS).option("pathGlobFilter", "*.csv").csv(folder)
-    return raw.select(*CSV_RAGGED.names, *_place())
+    """Names of the files that arrive; their content is read in blocks by each batch."""
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return found.option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.csv").load(folder).select("path")
 
 
 def fhir_uploads(spark: SparkSession, folder: str, files: int = FILES) -> DataFrame:
@@ -75,12 +75,12 @@ def run_csv(spark: SparkSession, folder: str, store: Store, checkpoint: str, opt
     with a bad row, none of it is stored, and its rows go to the rejects with the reason."""
 
     def batch(df: DataFrame, number: int) -> None:
-        rows = df.withColumn("seq", F.struct("file", "start", F.monotonically_increasing_id().alias("row")))
-        checked = csv.checked_rows(rows.drop("file", "start"))
-        names = [r["file"] for r in df.select("file").distinct().collect()]  # the files of one micro-batch
+        names = sorted(r["path"] for r in df.distinct().collect())  # the files of one micro-batch
         if not names:
             return
-        bad_header = csv.headers(spark.read, names).where("NOT ok").select(
+        found = records.blocks(spark.read, names)
+        checked = csv.checked_rows(csv.text_rows(spark.read, names, found))
+        bad_header = csv.headers(found).where("NOT ok").select(
             "file", F.concat(F.lit("schema mismatch, got "), F.col("got")).alias("fault")
         )
         bad_row = checked.where("reject_reason IS NOT NULL").groupBy(F.col("seq.file").alias("file")).agg(
