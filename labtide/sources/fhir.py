@@ -9,6 +9,8 @@ from labtide.functions.text import stripped
 from labtide.operators.barrier import settled
 from labtide.operators.normalise import with_analyte
 from labtide.schemas import OBSERVATION_COLUMNS
+from labtide.session import checkpointed
+from labtide.sources import bundles
 
 # Code systems and accepted states.
 LOINC = "http://loinc.org"
@@ -58,40 +60,32 @@ def _is(path: str, *kinds: str, required: bool = False) -> Column:
     return ok if required else (kind.isNull() | (kind == "VOID") | ok)
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: a whole JSON document each."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-
-
-def document_errors(docs: DataFrame) -> DataFrame:
-    """``error`` per document (null when it is a Bundle or an Observation)."""
+def document_errors(skeletons: DataFrame, entries: DataFrame) -> DataFrame:
+    """file and error of every document that is no Bundle or Observation; both frames are from `bundles.load`."""
     root = F.try_parse_json("value")
     kind = F.when(_kind(F.try_variant_get(root, "$.resourceType", "variant")) == "STRING",
                   F.try_variant_get(root, "$.resourceType", "string"))
     entry = _kind(F.try_variant_get(root, "$.entry", "variant"))
+    closed = F.rlike(F.btrim("value", F.lit(" \t\r\n")), F.lit(r"[}\]]$"))  # the parser stops at the root's end
+    bad_entries = entries.where(F.try_parse_json("value").isNull()).select("file").distinct().withColumn("bad_entry", F.lit(True))
     error = (
-        F.when(root.isNull(), "invalid JSON")
+        F.when(~F.col("sound") | root.isNull() | F.col("bad_entry") | ~closed, "invalid JSON")
         .when(kind.isNull(), "missing resourceType")
         .when(~kind.isin("Bundle", "Observation"), F.concat(F.lit("expected a Bundle or an Observation, got "), kind))
         .when((kind == "Bundle") & entry.isNotNull() & ~entry.startswith("ARRAY"), "invalid Bundle")
     )
-    return docs.withColumn("error", error)
+    return skeletons.join(bad_entries, "file", "left").select("file", error.alias("error")).where("error IS NOT NULL")
 
 
-def resources(docs: DataFrame) -> DataFrame:
+def resources(skeletons: DataFrame, entries: DataFrame, errors: DataFrame) -> DataFrame:
     """Resources of valid documents: (file, position, resource as variant)."""
-    root = F.try_parse_json("value")
-    entries = F.try_variant_get(root, "$.entry", "array<variant>")
-    bundled = F.filter(
-        F.transform(entries, lambda e: F.try_variant_get(e, "$.resource", "variant")),
-        lambda r: r.isNotNull() & (F.schema_of_variant(r) != "VOID"),
-    )
-    is_bundle = F.try_variant_get(root, "$.resourceType", "string") == "Bundle"
-    return (
-        document_errors(docs)
-        .where("error IS NULL")
-        .select("file", F.posexplode(F.when(is_bundle, bundled).otherwise(F.array(root))).alias("position", "resource"))
+    root = skeletons.join(errors.select("file"), "file", "left_anti").withColumn("root", F.try_parse_json("value"))
+    kind = F.try_variant_get("root", "$.resourceType", "string")
+    single = root.where(kind == "Observation").select("file", F.lit(0).cast("long").alias("position"), F.col("root").alias("resource"))
+    bundled = entries.join(root.where(kind == "Bundle").select("file"), "file", "left_semi").select(
+        "file", "position", F.try_variant_get(F.try_parse_json("value"), "$.resource", "variant").alias("resource")
     )
+    return single.unionByName(bundled.where(F.col("resource").isNotNull() & (F.schema_of_variant("resource") != "VOID")))
 
 
 def ndjson_resources(spark: SparkSession, path: str) -> DataFrame:
@@ -244,11 +238,12 @@ def split(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def read_fhir(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Import JSON documents; a document that is neither Bundle nor Observation is an error."""
-    docs = documents(spark, path)
-    bad = document_errors(docs).where("error IS NOT NULL").orderBy("file").select("file", "error").first()
+    skeletons, entries = bundles.load(spark.read, path)
+    errors = checkpointed(document_errors(skeletons, entries))
+    bad = errors.orderBy("file").first()
     if bad is not None:
         raise ValueError(f"{bad['file']}: {bad['error']}")
-    return split(resources(docs))
+    return split(settled(resources(skeletons, entries, errors)))
 
 
 def read_ndjson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labtide.functions.text import stripped
+from labtide.operators.barrier import settled
 from labtide.schemas import OBSERVATION_COLUMNS
-from labtide.sources import csv, fhir, records
+from labtide.session import checkpointed
+from labtide.sources import bundles, csv, fhir, records
 
 
 def detect_format(body: Column, content_type: Column | None = None) -> Column:
@@ -53,18 +55,14 @@ def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFr
         .groupBy(F.col("seq.file").alias("file"))
         .agg(F.min_by("reject_reason", "seq").alias("error"))
     )
-    docs = (
-        spark.read.option("pathGlobFilter", "*.json")
-        .text(folder, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), "value")
-    )
-    bad_docs = fhir.document_errors(docs).where("error IS NOT NULL").select("file", "error")
+    skeletons, entries = bundles.load(spark.read.option("pathGlobFilter", "*.json"), folder)
+    bad_docs = checkpointed(fhir.document_errors(skeletons, entries))
     failed_csv = (
         wrong_header.unionByName(bad_rows.join(wrong_header.select("file"), "file", "left_anti"))
     )
     accepted_csv, _ = csv.split(
         csv_rows.withColumn("file", F.col("seq.file")).join(failed_csv.select("file"), "file", "left_anti").drop("file")
     )
-    accepted_json, skipped, patients = fhir.split(fhir.resources(docs))
+    accepted_json, skipped, patients = fhir.split(settled(fhir.resources(skeletons, entries, bad_docs)))
     observations = accepted_csv.unionByName(accepted_json)
     return observations.select(*OBSERVATION_COLUMNS, "seq"), skipped, patients, failed_csv.unionByName(bad_docs)

@@ -53,16 +53,19 @@ def records(reader: DataFrameReader, path: str | list[str], found: DataFrame) ->
     if not inside:
         return whole
     crossed = sorted({file for file, _ in inside})
-    pieces = lines(reader, crossed).mapInArrow(_joined(inside), _SCHEMA).where(F.col("part") != WHOLE)
+    broken = lines(reader, crossed).mapInArrow(_joined(inside), _SCHEMA).where(F.col("part") != WHOLE)
+    return whole.unionByName(stitched(broken, "\n", LONGEST))
+
+
+def stitched(broken: DataFrame, between: str, longest: int) -> DataFrame:
+    """Pieces (file, start, row, text, part, long) joined in order, each with the place of its first one."""
     number = F.count_if(F.col("part") == OPEN).over(Window.partitionBy("file").orderBy("start", "row"))
     piece = F.struct("start", "row", "text", "long")
-    joined = pieces.withColumn("number", number).groupBy("file", "number").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
-    text = F.array_join("pieces.text", "\n")
-    return whole.unionByName(
-        joined.select(
-            "file", F.col("pieces")[0]["start"].alias("start"), F.col("pieces")[0]["row"].alias("row"), F.substring(text, 1, LONGEST).alias("text"),
-            (F.exists("pieces", lambda p: p["long"]) | (F.length(text) > LONGEST)).alias("long"),
-        )
+    joined = broken.withColumn("number", number).groupBy("file", "number").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    text = F.array_join("pieces.text", between)
+    return joined.select(
+        "file", F.col("pieces")[0]["start"].alias("start"), F.col("pieces")[0]["row"].alias("row"), F.substring(text, 1, longest).alias("text"),
+        (F.exists("pieces", lambda p: p["long"]) | (F.length(text) > longest)).alias("long"),
     )
 
 
