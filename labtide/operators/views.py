@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from labtide.functions.profiles import EGFR_METHOD
 from labtide.functions.text import iso_instant
-from labtide.operators import reports, review, signals, tables, triage
+from labtide.operators import layout, points, reports, review, signals, tables, triage
 from labtide.options import Options
 
 
@@ -81,3 +81,14 @@ def as_json(nested: DataFrame) -> DataFrame:
 def write_reports(computed: DataFrame, path: str) -> None:
     """Nested reports as parquet, one folder per code."""
     reports.nested(computed).hint("rebalance", "code").write.mode("overwrite").partitionBy("code").parquet(path)
+
+
+def write_series(
+    observations: DataFrame, demographics: DataFrame, path: str, options: Options = Options(), plan: layout.Layout | None = None
+) -> None:
+    """Reports, all analysed points and RCV jumps, a table each under ``path``."""
+    plan = (plan,) if plan else ()
+    write_reports(reports.reports(observations, demographics, options, *plan), f"{path}/reports")
+    every = reports.all_points(observations, demographics, options, *plan)
+    every.hint("rebalance", "code").write.mode("overwrite").partitionBy("code").parquet(f"{path}/points")
+    points.jumps(every).hint("rebalance").write.mode("overwrite").parquet(f"{path}/jumps")

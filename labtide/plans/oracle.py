@@ -316,6 +316,12 @@ _IDENTIFIER_CASE = " ".join(
 )
 _BOUND_CASE = lambda i: "CASE code " + " ".join(f"WHEN '{c}' THEN {_s(b[i])}" for c, b in BOUNDS.items()) + " END"
 
+STORED = sql("SELECT patient_id, code, t, round(value, 6) AS value, unit FROM obs")
+IMPORTED = sql(
+    "SELECT patient_id, coalesce(c.analyte, f.loinc) AS code, t, round(value, 6) AS value, unit FROM fhir f"
+    " LEFT JOIN codes c ON c.lookup_key = f.loinc WHERE reason IS NULL"
+)
+
 QUERIES: dict[str, str] = {
     "biomarker_stats": """SELECT event_type AS code, count(value) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min,
         round(max(value), 6) AS max FROM events GROUP BY event_type""",
@@ -492,4 +498,37 @@ QUERIES: dict[str, str] = {
         CASE c_custkey % 5 WHEN 0 THEN 'female' WHEN 1 THEN 'male' WHEN 2 THEN 'other' WHEN 3 THEN 'unknown' END AS gender,
         CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE 1940 + 3 * c_nationkey END AS birth_year FROM customer""",
     "skip_histogram": sql("SELECT reason, count(*) AS n FROM fhir WHERE reason IS NOT NULL GROUP BY reason"),
+    "csv_import": sql(
+        "SELECT patient_id, code, t, round(value, 6) AS value, unit,"
+        " 'events, no. \"' || event_id || '\"' || chr(10) || 'second line' AS source FROM obs"
+    ),
+    "fhir_bundle": IMPORTED,
+    "fhir_ndjson": IMPORTED,
+    "landing_folder": sql(
+        "SELECT 'stored from csv' AS kind, count(*) AS n FROM obs WHERE event_id % 3 = 0"
+        " UNION ALL SELECT 'stored from fhir', count(*) FROM fhir WHERE event_id % 3 = 2 AND reason IS NULL"
+        " UNION ALL SELECT 'skipped', count(*) FROM fhir WHERE event_id % 3 = 2 AND reason IS NOT NULL"
+        " UNION ALL SELECT 'failed: value is not a number', 1"
+    ),
+    "stored_insert": STORED,
+    "upload_commits": sql(
+        "SELECT 0::INTEGER AS upload, count(*) AS submitted, count(*) AS inserted, 0::BIGINT AS duplicates, false AS replayed"
+        " FROM obs WHERE t < 1685577600"
+        " UNION ALL SELECT 1, 2 * count(*), count(*) FILTER (t >= 1685577600), 2 * count(*) - count(*) FILTER (t >= 1685577600), false FROM obs"
+        " UNION ALL SELECT 2, 2 * count(*), 0, 2 * count(*), true FROM obs"
+    ),
+    "concurrent_inserts": STORED,
+    "stored_jumps": sql(
+        f"SELECT {KEY}, pt AS from_t, t AS to_t, round(v / pv - 1, 6) AS change FROM lp"
+        " WHERE pv IS NOT NULL AND (v / pv - 1 > rcv_up OR v / pv - 1 < rcv_down)"
+    ),
+    "stored_reports": sql(
+        f"SELECT {KEY}, CASE status_rank WHEN 2 THEN 'alert' WHEN 1 THEN 'watch' ELSE 'normal' END AS status,"
+        f" base_n::INTEGER AS base_n, coalesce(g.n, 0)::INTEGER AS n_signals FROM status LEFT JOIN base USING ({KEY})"
+        f" LEFT JOIN (SELECT {KEY}, count(*) AS n FROM signals GROUP BY ALL) g USING ({KEY})"
+    ),
+    "stream_equals_batch": sql(
+        f"SELECT {KEY}, CASE status_rank WHEN 2 THEN 'alert' WHEN 1 THEN 'watch' ELSE 'normal' END AS status FROM status WHERE NOT derived"
+    ),
 }
+QUERIES["stored_demographics"] = QUERIES["upsert_demographics"]

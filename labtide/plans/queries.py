@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labtide.functions import profiles
 from labtide.functions.stats import normal_cdf
 from labtide.functions.text import iso_instant
 from labtide.operators import (
-    detectors, layout, narrative, normalise, points, quality, reports, review, signals, tables, triage,
+    detectors, layout, narrative, normalise, points, quality, reports, review, signals, tables, triage, views,
 )
 from labtide.operators.barrier import settled
 from labtide.options import Options
 from labtide.plans import adapter
 from labtide.schemas import OBSERVATION_COLUMNS
-from labtide.sources import csv, fhir
+from labtide.session import shared_folder
+from labtide.sources import csv, fhir, landing
+from labtide.streaming import uploads
 
 KEY = ["patient_id", "code", "derived"]
 DEFAULT = Options()
@@ -150,8 +154,8 @@ def csv_rejects(spark, sf_dir):
     return csv.checked_rows(rows).select("event_id", "reject_reason")
 
 
-def _fhir_resources(spark, sf_dir) -> DataFrame:
-    """Every result as a FHIR Observation, with one kind of defect per event_id % 14."""
+def _fhir_texts(spark, sf_dir) -> DataFrame:
+    """Every result as the text of a FHIR Observation, with one kind of defect per event_id % 14."""
     k = F.expr("event_id % 14")
     loinc = F.expr(
         "CASE code WHEN 'HBA1C' THEN '4548-4' WHEN 'LDL' THEN '18262-6' WHEN 'TSH' THEN '3016-3'"
@@ -187,10 +191,15 @@ def _fhir_resources(spark, sf_dir) -> DataFrame:
     )
     json = F.when(k == 8, F.replace(F.to_json(body), F.lit('"final"'), F.lit("5"))).otherwise(F.to_json(body))
     json = F.when(k == 8, F.replace(json, F.lit('"amended"'), F.lit("5"))).otherwise(json)
-    lines = adapter.lab_events(spark, sf_dir).select(
-        F.lit("events").alias("file"), F.col("event_id").alias("position"), F.try_parse_json(json).alias("resource")
+    return adapter.lab_events(spark, sf_dir).select("event_id", json.alias("body"))
+
+
+def _fhir_resources(spark, sf_dir) -> DataFrame:
+    return settled(
+        _fhir_texts(spark, sf_dir).select(
+            F.lit("events").alias("file"), F.col("event_id").alias("position"), F.try_parse_json("body").alias("resource")
+        )
     )
-    return settled(lines)
 
 
 def _fhir_checked(spark, sf_dir):
@@ -261,7 +270,8 @@ def upload_summary(spark, sf_dir):
     )
 
 
-def upsert_demographics(spark, sf_dir):
+def _demographics_upload(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Stored demographics, and a batch that repeats and then corrects them."""
     stored = adapter.demographics(spark, sf_dir)
     number = F.expr("CAST(substr(patient_id, 2) AS BIGINT)")
     gone = F.lit(None).cast("string")
@@ -271,7 +281,11 @@ def upsert_demographics(spark, sf_dir):
     ).withColumn(
         "birth_year", F.when(number % 4 == 1, F.lit(None)).when(number % 4 == 3, 1950).otherwise(F.col("birth_year"))
     )
-    return tables.upsert_demographics(stored, first.unionByName(fixes)).select("patient_id", "gender", "birth_year")
+    return stored, first.unionByName(fixes)
+
+
+def upsert_demographics(spark, sf_dir):
+    return tables.upsert_demographics(*_demographics_upload(spark, sf_dir)).select("patient_id", "gender", "birth_year")
 
 
 def dedupe_results(spark, sf_dir):
@@ -565,6 +579,153 @@ def draft_audit(spark, sf_dir):
     return narrative.draft_audit(stub.select(*KEY, draft.alias("draft")), computed)
 
 
+# -- files and stored tables, written and read back ------------------------------
+
+
+def _folder(spark, name) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored_columns(rows: DataFrame) -> DataFrame:
+    return rows.select("patient_id", "code", F.unix_timestamp("taken_at").alias("t"), *r("value"), "unit")
+
+
+def _csv_rows(spark, sf_dir) -> DataFrame:
+    """Every result as upload text; the source holds a line break, quotes and a comma."""
+    note = F.concat(F.lit('events, no. "'), F.col("event_id"), F.lit('"\nsecond line'))
+    return adapter.lab_events(spark, sf_dir).select(
+        "event_id", "patient_id", "code", F.col("value").cast("string").alias("value"), "unit",
+        F.date_format("taken_at", "yyyy-MM-dd HH:mm:ss").alias("taken_at"), note.alias("source"),
+    )
+
+
+def _write_csv(rows: DataFrame, path: str, files: int) -> None:
+    rows.select(*OBSERVATION_COLUMNS).repartition(files).write.option("header", True).option("escape", '"').csv(path)
+
+
+def csv_import(spark, sf_dir):
+    """Uploads with quoted line breaks, read in blocks."""
+    path = _folder(spark, "csv")
+    _write_csv(_csv_rows(spark, sf_dir), path, 3)
+    accepted, _ = csv.read_csv(spark, path)
+    return accepted.select("patient_id", "code", F.unix_timestamp("taken_at").alias("t"), *r("value"), "unit", "source")
+
+
+def _write_bundles(rows: DataFrame, path: str, documents: int) -> None:
+    """Bundles of (event_id, body) rows, one document per event_id % documents, one entry a line."""
+    number = (F.col("event_id") % documents).alias("document")
+    first = F.row_number().over(Window.partitionBy("document").orderBy("event_id")) == 1
+    entry = F.concat(F.when(first, "").otherwise(","), F.lit('{"fullUrl": "urn:{}", "resource": '), "body", F.lit("}"))
+    entries = rows.select("event_id", number, "body").select("document", F.col("event_id").alias("at"), entry.alias("value"))
+    numbers = entries.select("document").distinct()
+    opening = numbers.select("document", F.lit(-1).cast("long").alias("at"), F.lit('{"resourceType": "Bundle", "link": [{"relation": "self"}], "entry": [').alias("value"))
+    closing = numbers.select("document", F.lit((1 << 62)).alias("at"), F.lit('], "type": "collection"}').alias("value"))
+    every = entries.unionByName(opening).unionByName(closing).repartition(documents, "document").sortWithinPartitions("document", "at")
+    every.select("document", "value").write.partitionBy("document").text(path)
+
+
+def _imported(accepted: DataFrame) -> DataFrame:
+    return accepted.select("patient_id", "code", F.unix_timestamp("taken_at").alias("t"), *r("value"), "unit")
+
+
+def fhir_bundle(spark, sf_dir):
+    """Accepted results of Bundles that are read in blocks."""
+    path = _folder(spark, "bundles")
+    _write_bundles(_fhir_texts(spark, sf_dir), path, 2)
+    return _imported(fhir.read_fhir(spark, path)[0])
+
+
+def fhir_ndjson(spark, sf_dir):
+    path = _folder(spark, "ndjson")
+    _fhir_texts(spark, sf_dir).select("body").write.text(path)
+    return _imported(fhir.read_ndjson(spark, path)[0])
+
+
+def landing_folder(spark, sf_dir):
+    """CSV files and a Bundle in one folder, and a CSV file with bad rows, which fails alone: loaded and failed files
+    with their results."""
+    path, rows = _folder(spark, "landing"), _csv_rows(spark, sf_dir)
+    _write_csv(rows.where("event_id % 3 = 0"), f"{path}/good", 2)
+    _write_csv(rows.where("event_id % 3 = 1").withColumn("value", F.when(F.col("event_id") % 2 == 0, "high").otherwise(F.col("value"))), f"{path}/bad", 1)
+    _write_bundles(_fhir_texts(spark, sf_dir).where("event_id % 3 = 2"), f"{path}/bundle", 1)
+    parts = landing.load(spark, path, csv_files="*.csv", json_files="*.txt", nested=True)
+    observations, skipped, _, failed = parts
+    count = F.count(F.lit(1)).alias("n")
+    return (
+        observations.groupBy(F.concat(F.lit("stored from "), F.when(F.col("source") == "fhir", "fhir").otherwise("csv")).alias("kind")).agg(count)
+        .unionByName(skipped.groupBy(F.lit("skipped").alias("kind")).agg(count))
+        .unionByName(failed.groupBy(F.concat(F.lit("failed: "), "error").alias("kind")).agg(count))
+    )
+
+
+def stored_insert(spark, sf_dir):
+    """The store after a first and an overlapping upload; the first value of a key stays."""
+    stored, batch = _upload(spark, sf_dir)
+    path = _folder(spark, "store")
+    tables.append_results(spark, path, stored.withColumn("seq", F.lit(0)))
+    tables.append_results(spark, path, batch)
+    return _stored_columns(tables.read_results(spark, path))
+
+
+def upload_commits(spark, sf_dir):
+    """What three uploads did: results before a date, every result twice, and the second batch replayed."""
+    stored, batch = _upload(spark, sf_dir)
+    path = _folder(spark, "store")
+    uploads = [(stored.withColumn("seq", F.lit(0)), 0), (batch, 1), (batch, 1)]
+    done = [tables.append_results(spark, path, rows, feed="csv", number=number) for rows, number in uploads]
+    counts = [(i, c.submitted, c.inserted, c.duplicates, c.replayed) for i, c in enumerate(done)]
+    return spark.createDataFrame(counts, "upload int, submitted long, inserted long, duplicates long, replayed boolean")
+
+
+def concurrent_inserts(spark, sf_dir):
+    """Two feeds that write at the same time and share a third of their results."""
+    rows = adapter.lab_events(spark, sf_dir).select("event_id", *OBSERVATION_COLUMNS).withColumn("seq", F.lit(0))
+    path = _folder(spark, "store")
+
+    def write(rest: int) -> None:
+        mine = rows.where(F.col("event_id") % 3 != rest).drop("event_id")
+        tables.append_results(spark, path, mine, feed=f"feed-{rest}", number=0)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, (0, 1)))
+    return _stored_columns(tables.read_results(spark, path))
+
+
+def stored_demographics(spark, sf_dir):
+    """Demographics of two uploads, read back: the later one corrects, to null as well."""
+    stored, fixes = _demographics_upload(spark, sf_dir)
+    path = _folder(spark, "people")
+    tables.append_demographics(spark, path, stored.withColumn("seq", F.lit(0)))
+    tables.append_demographics(spark, path, fixes)
+    return tables.read_demographics(spark, path)
+
+
+def stored_reports(spark, sf_dir):
+    """Written reports, read back."""
+    path = _folder(spark, "reports")
+    views.write_series(_observations(spark, sf_dir), adapter.demographics(spark, sf_dir), path, DEFAULT, _plan(spark, sf_dir))
+    return spark.read.parquet(f"{path}/reports").select(
+        "patient_id", "code", "derived", "status", F.col("baseline.n").cast("int").alias("base_n"), F.size("signals").alias("n_signals")
+    )
+
+
+def stored_jumps(spark, sf_dir):
+    """Written RCV jumps, read back."""
+    path = _folder(spark, "reports")
+    views.write_series(_observations(spark, sf_dir), adapter.demographics(spark, sf_dir), path, DEFAULT, _plan(spark, sf_dir))
+    return spark.read.parquet(f"{path}/jumps").select(*KEY, "from_t", "to_t", *r("change"))
+
+
+def stream_equals_batch(spark, sf_dir):
+    """Status after two micro-batches of uploads, the second with late results and repeats, without demographics."""
+    root, rows = _folder(spark, "stream"), _csv_rows(spark, sf_dir)
+    store = uploads.Store(f"{root}/store")
+    for turn, part in enumerate((rows.where("event_id % 2 = 0"), rows)):
+        _write_csv(part, f"{root}/in/{turn}", 2)
+        uploads.run_csv(spark, f"{root}/in/*", store, f"{root}/checkpoint").awaitTermination()
+    return uploads.current_status(spark, store).select(*KEY, "status")
+
+
 QUERIES = {
     "triage_ranked": triage_ranked,
     "triage": patient_triage,
@@ -583,6 +744,8 @@ QUERIES = {
             egfr_not_derived, kdigo_stage, series_status, deciding_rule, not_assessed, drift_reports, review_fold,
             signal_reviews, unreviewed_signals, stale_reviews, review_snapshots, identifier_screen, review_rejects,
             point_annotations, series_table, explain_context, stub_drafts, draft_audit,
+            csv_import, fhir_bundle, fhir_ndjson, landing_folder, stored_insert, upload_commits, concurrent_inserts,
+            stored_demographics, stored_reports, stored_jumps, stream_equals_batch,
         )
     },
 }

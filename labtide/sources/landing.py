@@ -37,14 +37,15 @@ def file_formats(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Every ``*.csv`` and ``*.json`` of a folder, by file name.
+def load(spark: SparkSession, folder: str, csv_files: str = "*.csv", json_files: str = "*.json", nested: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every CSV file and JSON document of a folder, by file name; ``nested`` takes the folders in it, too.
 
     Returns (observations with ``seq``, skipped resources, demographics, failed files).
     A CSV file with a wrong header or any bad row fails as a whole; so does a JSON
     document that is no Bundle or Observation. The other files load.
     """
-    only_csv = lambda: spark.read.option("pathGlobFilter", "*.csv")
+    only = lambda names: spark.read.option("pathGlobFilter", names).option("recursiveFileLookup", nested)
+    only_csv = lambda: only(csv_files)
     found = records.blocks(only_csv(), folder)
     csv_rows = csv.checked_rows(csv.text_rows(only_csv(), folder, found))
     wrong_header = csv.headers(found).where("NOT ok").select(
@@ -55,7 +56,7 @@ def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFr
         .groupBy(F.col("seq.file").alias("file"))
         .agg(F.min_by("reject_reason", "seq").alias("error"))
     )
-    skeletons, entries = bundles.load(spark.read.option("pathGlobFilter", "*.json"), folder)
+    skeletons, entries = bundles.load(only(json_files), folder)
     bad_docs = checkpointed(fhir.document_errors(skeletons, entries))
     failed_csv = (
         wrong_header.unionByName(bad_rows.join(wrong_header.select("file"), "file", "left_anti"))
