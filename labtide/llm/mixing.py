@@ -11,8 +11,8 @@ are handed to each range as an offset. A source that holds a third of all rows i
 its ranges, and the number of ranges follows the number of rows.
 
 Nulls and odd rows: a null text has size 0 and takes 0 words; a null source is a source of its own, the
-last one; a null doc_id hashes as the empty text. Rows that agree in key, id and size are interchangeable
-in order, and each is a document of its own. An empty table gives an empty result. Columns of the input
+last one; a null doc_id hashes as the empty text. Rows that agree in key, id and size come in the order of
+a hash of their texts; each row is a document of its own. An empty table gives an empty result. Columns of the input
 other than the id, text and source are passed through by `mix` and ignored by `shares`.
 """
 
@@ -28,6 +28,8 @@ WEIGHTS = (3, 1, 2)
 #: The mix holds this many words for each two words of input, at most `EPOCHS` times a source.
 HALVES = 3
 EPOCHS = 2
+#: The order of documents in a source; rows equal in all of it are the same in id and text.
+PLACE = ("key", "doc_id", "size", "text_hash")
 #: Documents per key range; only the layout depends on it.
 RANGE_ROWS = 20_000
 LEAST_RANGES = 256
@@ -43,9 +45,10 @@ def _range(key: Column, ranges: Column | int) -> Column:
 
 
 def sizes(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size in words and mixing key of each document."""
+    """doc_id, source, size in words, mixing key and text hash of each document."""
     return docs.select(
-        F.col("doc_id"), F.col("source"), F.size(words("text")).cast("long").alias("size"), _key(F.col("doc_id"), seed).alias("key")
+        F.col("doc_id"), F.col("source"), F.size(words("text")).cast("long").alias("size"), _key(F.col("doc_id"), seed).alias("key"),
+        F.xxhash64("text").alias("text_hash"),
     )
 
 
@@ -108,14 +111,14 @@ def shares(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, halves: int = H
     joined = placed.join(
         offsets, placed["source"].eqNullSafe(offsets["o_source"]) & (placed["range"] == offsets["o_range"])
     )
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.floor("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     rest = budget - passes * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
     return joined.select(
-        "doc_id", "source", "key", "size", "source_size", "target", passes.alias("epochs"),
+        "doc_id", "source", "range", "key", "size", "text_hash", "source_size", "target", passes.alias("epochs"),
         (passes * F.col("size") + part).cast("long").alias("taken"),
     )
 
@@ -129,7 +132,8 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS)
     """
     cut = cuts(shares(settled(sizes(docs, seed)), weights))
     key, size = _key(F.col("doc_id"), seed), F.size(words("text")).cast("long")
-    rows = docs.select(F.struct("*").alias("row"), F.struct(key.alias("key"), F.col("doc_id").alias("doc_id"), size.alias("size")).alias("place"))
+    place = F.struct(key.alias("key"), F.col("doc_id").alias("doc_id"), size.alias("size"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(F.struct("*").alias("row"), place.alias("place"))
     joined = rows.join(cut, F.col("row.source").eqNullSafe(F.col("cut_source")), "left")
     whole_size = F.col("place.size")
     part = (
@@ -153,11 +157,13 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS)
 def cuts(shared: DataFrame) -> DataFrame:
     """Per source: the place of the document on the cut, the words it gives there, and the whole passes.
 
-    Rows that share the place of the cut, equal in id and size, each give the fewest words any of them gives.
+    Rows that are the same in id and text share the words that are left at their place evenly, in whole words: all
+    together they miss the budget by less than one word each.
     """
-    part = F.col("taken") - F.col("epochs") * F.col("size")
-    place = F.struct("key", "doc_id", "size")
-    last = F.max(F.when(part > 0, F.struct(place.alias("at"), (-part).alias("less"))))
-    return shared.groupBy(F.col("source").alias("cut_source")).agg(last.alias("last"), F.max("epochs").alias("cut_epochs")).select(
-        "cut_source", F.col("last.at").alias("cut_at"), (-F.col("last.less")).alias("cut_words"), "cut_epochs"
+    same = Window.partitionBy("source", "range", *PLACE)
+    counted = shared.withColumn("part", F.col("taken") - F.col("epochs") * F.col("size"))
+    counted = counted.withColumn("each", F.floor(F.sum("part").over(same) / F.count(F.lit(1)).over(same)).cast("long"))
+    last = F.max(F.when(F.col("part") > 0, F.struct(F.struct(*PLACE).alias("at"), "each")))
+    return counted.groupBy(F.col("source").alias("cut_source")).agg(last.alias("last"), F.max("epochs").alias("cut_epochs")).select(
+        "cut_source", F.col("last.at").alias("cut_at"), F.col("last.each").alias("cut_words"), "cut_epochs"
     )

@@ -19,7 +19,8 @@ shrink before the shuffle. Contents are compared by two 64-bit hashes, of the an
 the run; windows by two 64-bit hashes of their words.
 
 Defined cases: null or blank texts have no words; texts shorter than a window keep all words; a document
-without id is no reference and loses nothing; rows that repeat an id are never earlier than each other.
+without id is no reference and loses nothing; rows that repeat an id, with the same text or another one, are never earlier
+than each other, and each loses what its own text repeats of smaller ids.
 An empty table gives an empty result.
 """
 
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labtide.llm.common import settled
@@ -41,12 +42,12 @@ ANCHOR = 12
 
 
 def runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """anchor, content, doc_id, first and last window start of every run of every document with an id."""
+    """anchor, content, doc_id, row (hash of the text), first and last window start of every run of every document with an id."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            ids, rows = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
             for first, texts in chunks(binary(batch["text"]), spaced):
                 n = np.array([len(t) for t in texts], np.int64)
                 begin = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -69,21 +70,26 @@ def runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFra
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(least[starts].view(np.int64)), pa.array(content.view(np.int64)),
-                        pa.array(ids[first + owner[starts]].astype(np.int64)),
+                        pa.array(ids[first + owner[starts]].astype(np.int64)), pa.array(rows[first + owner[starts]].astype(np.int64)),
                         pa.array((starts - at).astype(np.int32)), pa.array((ends - 1 - at).astype(np.int32)),
                     ],
-                    names=["anchor", "content", "doc_id", "first", "last"],
+                    names=["anchor", "content", "doc_id", "row", "first", "last"],
                 )
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(parse, "anchor long, content long, doc_id long, first int, last int")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), _row(), "text")
+    return rows.mapInArrow(parse, "anchor long, content long, doc_id long, row long, first int, last int")
+
+
+def _row() -> Column:
+    """Tells rows of one id with different texts apart."""
+    return F.xxhash64("text").alias("row")
 
 
 def _boundary_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Both hashes of each window of the runs in `spans`, with document and start."""
+    """Both hashes of each window of the runs in `spans`, with document, row and start."""
     hashes = WordHashes()
     for batch in batches:
-        ids = batch["doc_id"].to_pylist()
+        ids, rows = batch["doc_id"].to_pylist(), batch["row"].to_pylist()
         for i, (text, spans) in enumerate(zip(binary(batch["text"]), batch["spans"].to_pylist())):
             codes = hashes.of(spaced(text))
             at = np.unique(np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans]))
@@ -91,18 +97,18 @@ def _boundary_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterato
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(at), ids[i], np.int64)),
-                    pa.array(at.astype(np.int32)),
+                    pa.array(np.full(len(at), rows[i], np.int64)), pa.array(at.astype(np.int32)),
                 ],
-                names=["one", "two", "doc_id", "first"],
+                names=["one", "two", "doc_id", "row", "first"],
             )
 
 
 def repeated_spans(docs: DataFrame, placed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id and the merged-in-no-order spans of window starts found in earlier documents.
+    """doc_id, row and the merged-in-no-order spans of window starts found in earlier documents.
 
-    `placed` holds doc_id and text of the documents with an id, partitioned by doc_id.
+    `placed` holds doc_id, row and text of the documents with an id, partitioned by both.
     """
-    every = runs(docs, window, anchor)
+    every = settled(runs(docs, window, anchor))
     met_blocks = every.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     # only blocks that several documents meet in go on
     parsed = settled(every.join(met_blocks.select("anchor"), "anchor", "left_semi"))
@@ -114,21 +120,21 @@ def repeated_spans(docs: DataFrame, placed: DataFrame, window: int = WINDOW, anc
     )
     # a content's earliest document has none before it to lean on: its runs in mixed blocks are the boundaries
     met = parsed.join(known, ["anchor", "content"]).where((F.col("earliest") < F.col("doc_id")) | F.col("mixed"))
-    met = met.select("doc_id", F.struct("first", "last").alias("span"), (F.col("earliest") < F.col("doc_id")).alias("whole"))
-    per_doc = met.groupBy("doc_id").agg(
+    met = met.select("doc_id", "row", F.struct("first", "last").alias("span"), (F.col("earliest") < F.col("doc_id")).alias("whole"))
+    per_doc = met.groupBy("doc_id", "row").agg(
         F.collect_list(F.when(F.col("whole"), F.col("span"))).alias("whole"),
         F.collect_list(F.when(~F.col("whole"), F.col("span"))).alias("spans"),
     )
-    boundary = placed.join(per_doc.where(F.size("spans") > 0).select("doc_id", "spans"), "doc_id")
-    single = boundary.select("doc_id", "text", "spans").mapInArrow(
-        lambda batches: _boundary_windows(batches, window), "one long, two long, doc_id long, first int"
+    boundary = placed.join(per_doc.where(F.size("spans") > 0).select("doc_id", "row", "spans"), ["doc_id", "row"])
+    single = boundary.select("doc_id", "row", "text", "spans").mapInArrow(
+        lambda batches: _boundary_windows(batches, window), "one long, two long, doc_id long, row long, first int"
     )
     earliest = single.groupBy("one", "two").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
     earliest = earliest.where(F.col("latest") > F.col("earliest")).select("one", "two", "earliest")
     late = single.join(earliest, ["one", "two"]).where(F.col("earliest") < F.col("doc_id"))
-    extra = late.groupBy("doc_id").agg(F.collect_list(F.struct("first", F.col("first").alias("last"))).alias("single"))
-    return per_doc.select("doc_id", "whole").join(extra, "doc_id", "full").select(
-        "doc_id",
+    extra = late.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", F.col("first").alias("last"))).alias("single"))
+    return per_doc.select("doc_id", "row", "whole").join(extra, ["doc_id", "row"], "full").select(
+        "doc_id", "row",
         F.concat(
             F.coalesce("whole", F.array().cast("array<struct<first:int,last:int>>")),
             F.coalesce("single", F.array().cast("array<struct<first:int,last:int>>")),
@@ -163,10 +169,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     if not 0 < anchor <= window:
         raise ValueError("the anchor must have at least one word and at most as many as the window")
     plain = docs.select("doc_id", "text")
-    placed = plain.where("doc_id IS NOT NULL").repartition("doc_id")
+    placed = plain.where("doc_id IS NOT NULL").select("doc_id", _row(), "text").repartition("doc_id", "row")
     spans = repeated_spans(plain, placed, window, anchor)
     none = plain.where("doc_id IS NULL").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    found = placed.join(spans, "doc_id", "left").select("doc_id", "text", "spans").unionByName(none)
+    found = placed.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "spans").unionByName(none)
     kind, last = dict(docs.dtypes)["doc_id"], "kept_sha256" if digest else "kept"
     return found.mapInArrow(
         lambda batches: _remove(batches, window, digest), f"doc_id {kind}, n_words long, n_removed long, {last} string"
