@@ -32,8 +32,9 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = settled(secrets.candidates(docs, secrets.statistics(docs)))
-    scored = secrets.scan(found, secrets.train(found, secrets.rule_labels(found)))
+    known = secrets.statistics(docs)
+    corpus, labels = secrets.planted(docs)
+    scored = secrets.scan(secrets.candidates(docs, known), secrets.train(secrets.candidates(corpus, known), labels))
     return scored.select(
         "doc_id", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret"
     )

@@ -1,17 +1,21 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least `LEAST` letters, digits and `+ / = _ -` with a digit, or with both letter
-cases in the middle. Each gets features of four kinds: its length and make-up; how likely its character
-transitions are in ordinary text; how much of it dictionary words cover, and the path, address or assignment it
-stands in; and its neighbouring words, hashed. A random forest (Spark ML) trained from labelled findings tells
-secrets from identifiers, numbers, paths and long words.
+Candidates are of two kinds. A run is at least `LEAST` letters, digits and `+ / _ -`, of any letter case, with `=` only as
+padding at its end. A value is whatever is assigned to a name that says it is a secret, or stands as the password in an
+address, whatever its length and signs: inside quotes up to the closing one of the same line, else up to white space or
+a quote, without closing punctuation. A run inside a longer value is a candidate of its own. Passwords that
+follow their name without a sign, shorter than `LEAST`, are no candidates.
+
+Each candidate gets features of four kinds: its length and make-up; how likely its character transitions are in ordinary
+text; how much of it dictionary words cover, and the path, address or assignment it stands in; and its neighbouring words,
+hashed. A random forest (Spark ML) trained from labelled findings tells secrets from identifiers, numbers, paths and words.
 
 Transitions and the dictionary are counted over all documents, combined per task. The forest is trained on at most
 `TRAIN` labelled findings in order of a hash; every candidate of every document is scored.
 
-Labelled findings have doc_id, start (characters from the beginning of the text) and is_secret. Where nobody has
-labelled any, `rule_labels` makes some: a quoted value assigned to a name that says what it is is a secret; bare
-numbers, and parts of addresses and paths, are not. Everything else stays unlabelled and is for the forest to judge.
+Labelled findings have doc_id, start (characters from the beginning of the text), is_secret, and length where one start
+has several candidates. `unmatched` lists those that no candidate stands for. Where nobody has labelled any, `planted` writes secrets and
+look-alikes of known kinds into pieces of at most `PLANTED` documents; the label is what was written.
 
 Defined cases: null and empty texts have no candidates; a null doc_id keeps its findings, under null; unknown labels
 are ignored; without labels of both kinds every candidate scores the smoothed share of secrets; repeated rows give
@@ -20,8 +24,11 @@ repeated findings; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
+import base64
+import random
 import re
+import string
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,17 +47,25 @@ LEAST = 12
 TRAIN = 20_000
 DICTIONARY = 30_000
 TREES, DEPTH = 24, 8
-NEIGHBOURS = 16
+NEIGHBOURS = 32
 #: Characters on each side that neighbouring words are looked for in.
 AROUND = 60
 
-_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/_\-][A-Za-z0-9+/=_\-]{{{LEAST - 1},}}")
-_MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
+#: Documents that labelled findings are planted in at most, findings in each, and characters kept around them.
+PLANTED, EACH, PIECE = 3_000, 6, 600
+
+_RUN = re.compile(rf"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{{{LEAST},}}(?:={{1,2}}(?![A-Za-z0-9+/=_\-]))?")
+_SIGN = re.compile(r"[:=]{1,3}>?[ \t]{0,8}")
+_QUOTED = re.compile(r"\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`")
+_BARE = re.compile(r"[\"'`]?([^\s\"'`]+)")
+_USER = re.compile(r"://[^\s:/@]+:([^\s/@]+)@")
 _WORD = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"[a-z]{3,16}")
-_ASSIGNED = re.compile(r"([A-Za-z_][\w.\-]*)\s*[:=]+\s*[\"'`]?$")
-#: Names that say that their value is a secret.
-_SECRET_NAMES = re.compile(r"(token|secret|passw(or)?d|api_?key|access_?key|private_?key|credential)s?$", re.I)
+_ASSIGNED = re.compile(r"[\w\]][\"'`]?[ \t]{0,8}[:=]{1,3}>?[ \t]{0,8}[\"'`]?$")
+#: Names that say that their value is a secret, at the end of what stands before it.
+_NAMES = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|(?:api|access|private|auth|secret|signing)[_\- ]?key|credential)s?"
+_NAMED = re.compile(_NAMES + r"[\"'`\])]{0,2}[ \t]{0,8}$", re.I)
+_NEAR_NAME = re.compile(_NAMES, re.I)
 
 #: Classes of characters for transitions: lower case by letter, upper case, digits and the rest as one each.
 _CLASSES = 29
@@ -120,18 +135,35 @@ def _hashed(words: list[str]) -> list[float]:
 def features(value: str, before: str, after: str, known: dict) -> list[float]:
     codes = _CLASS_OF[np.frombuffer(value.encode(), np.uint8)].astype(np.int64)
     counts = np.array(list(Counter(value).values())) / len(value)
-    kinds = np.array([0 if c < 26 else c - 25 for c in codes.tolist()])
+    kinds = np.maximum(codes - 25, 0)
     near = before[-1:]
+    steps = known["transitions"][codes[:-1], codes[1:]]
     return [
         float(len(value)), float(-(counts * np.log2(counts)).sum()), float((kinds == 2).mean()), float((kinds == 1).mean()),
-        float((kinds == 3).mean()), float(np.mean(kinds[1:] != kinds[:-1])), float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None),
-        float(known["transitions"][codes[:-1], codes[1:]].mean()), covered(value, known["words"]),
+        float((kinds == 3).mean()), float((kinds[1:] != kinds[:-1]).sum() / len(kinds)),
+        float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None), float(steps.mean()) if len(steps) else 0.0,
+        covered(value, known["words"]),
         float(near in "/\\~" and near != ""), float(near in "@." and near != "" or after[:1] in ("@", ".")), float(after[:1] in ("/", "\\")),
         float("//" in before[-20:]), float(near in "\"'`" and near != ""), float(_ASSIGNED.search(before) is not None),
+        float(_NEAR_NAME.search(before[-30:]) is not None),
         *_hashed(_WORD.findall(before)[-2:]), *_hashed(_WORD.findall(after)[:2]),
     ]
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Begin and end of every candidate, in order."""
+    out = {m.span() for m in _RUN.finditer(text)} | {m.span(1) for m in _USER.finditer(text)}
+    for sign in _SIGN.finditer(text):
+        if _NAMED.search(text[max(0, sign.start() - AROUND) : sign.start()]):
+            quoted = _QUOTED.match(text, sign.end())
+            if quoted:
+                out.add(quoted.span(quoted.lastindex))
+            elif bare := _BARE.match(text, sign.end()):
+                begin = bare.start(1)
+                out.add((begin, begin + len(bare[1].rstrip(".,;)]}") or bare[1])))
+    return sorted(out)
+
+
 def candidates(docs: DataFrame, known: dict) -> DataFrame:
     """doc_id, start, value, before, after and features of every candidate; start and length in characters."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
@@ -141,15 +173,14 @@ def candidates(docs: DataFrame, known: dict) -> DataFrame:
         for batch in batches:
             owner, start, value, left, right, table = [], [], [], [], [], []
             for i, text in enumerate(batch["text"].to_pylist()):
-                for m in _CANDIDATE.finditer(text or ""):
-                    if _MIXED.search(m[0]):
-                        before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
-                        owner.append(i)
-                        start.append(m.start())
-                        value.append(m[0])
-                        left.append(before)
-                        right.append(after)
-                        table.append(features(m[0], before, after, known))
+                for begin, end in spans(text or ""):
+                    before, after = text[max(0, begin - AROUND) : begin], text[end : end + AROUND]
+                    owner.append(i)
+                    start.append(begin)
+                    value.append(text[begin:end])
+                    left.append(before)
+                    right.append(after)
+                    table.append(features(text[begin:end], before, after, known))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"].take(pa.array(owner, pa.int32())), pa.array(start, pa.int64()), pa.array(value, pa.string()),
@@ -162,21 +193,99 @@ def candidates(docs: DataFrame, known: dict) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(find, schema)
 
 
-def rule_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings by plain rules, for candidates whose surroundings leave no doubt."""
-    named = F.lower(F.regexp_extract("before", r"([A-Za-z_][\w.\-]*)\s*[:=]+\s*[\"'`]?$", 1))
-    secret = named.rlike(_SECRET_NAMES.pattern.replace("(or)?", "(?:or)?")) & F.col("before").rlike("[\"'`]$")
-    number = F.col("value").rlike(r"^[0-9\-]+$")
-    place = F.col("before").rlike(r"[/@.~\\]$") | F.col("after").rlike(r"^[@.][A-Za-z0-9]")
-    label = F.when(secret, 1).when(number | place | (named == "") & F.col("value").rlike(r"^[A-Za-z\-]+$"), 0)
-    return found.select("doc_id", "start", label.alias("is_secret")).where("is_secret IS NOT NULL")
+def _secret(r: random.Random) -> tuple[str, str]:
+    """A made-up secret in the way that secrets are written, as (what stands before and after it, its value)."""
+    letters, signs = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "!#$%&*+?@^~"
+    kind = r.randrange(6)
+    if kind == 0:
+        value = "".join(r.choices("0123456789abcdef", k=r.choice([32, 40, 64])))
+    elif kind == 1:
+        value = "".join(r.choices(letters, k=r.randint(20, 48)))
+    elif kind == 2:
+        value = base64.b64encode(r.randbytes(r.randint(18, 48))).decode()
+    elif kind == 3:
+        value = r.choice(["sk_live_", "pk-", "ghx_", "AK", "xox-"]) + "".join(r.choices(letters, k=r.randint(16, 36)))
+    elif kind == 4:
+        value = "".join(r.choices(string.ascii_lowercase, k=r.randint(16, 32)))
+    else:
+        value = "".join(r.choices(signs, k=r.randint(7, 14))) + r.choice(string.digits)
+    name = r.choice(["token", "secret", "password", "api_key", "access-key", "privateKey", "client_secret", "auth_token", "DB_PASSWORD", "API_KEY"])
+    forms = ['{n} = "{v}"', "{n}: {v}", "{n}={v}", '"{n}": "{v}"', "{n} = '{v}'", "export {n}={v}", "{n}: `{v}`"]
+    # a short password, or one letter case, is told by its name only
+    forms += [] if kind in (0, 4, 5) else ["Authorization: Bearer {v}", "{v}", "my {n} {v}"]
+    return r.choice(forms).replace("{n}", name), value
+
+
+def _look_alike(r: random.Random, words: list[str]) -> tuple[str, str]:
+    """Something that is no secret: identifiers, hashes of contents, numbers, paths, words and empty promises."""
+    some = [r.choice(words) for _ in range(4)]
+    digest = "".join(r.choices("0123456789abcdef", k=r.choice([32, 40, 64])))
+    glued = "".join(some)
+    named = r.choice(["token", "secret", "password", "api_key", "auth_token"])
+    return r.choice([
+        ("id: {v}", str(uuid.UUID(int=r.getrandbits(128)))), ("{v}", str(uuid.UUID(int=r.getrandbits(128)))),
+        ("commit {v}", digest), ("sha256:{v}", digest), ("checksum = {v}", digest), ("{v}", str(r.randrange(10**11, 10**18))),
+        ("order {v}", str(r.randrange(10**11, 10**16))), ("call {v}", f"{r.randrange(10**3)}-{r.randrange(10**4)}-{r.randrange(10**6):06}"),
+        ("/usr/{v}", "/".join(some)), ("https://example.org/{v}", "/".join(some) + f"-{r.randrange(10**6)}"), ("{v}", glued), ("{v}", "_".join(some)),
+        ("{v}", "-".join(some)), ("{v}()", some[0] + "".join(w.title() for w in some[1:])), ('name = "{v}"', glued), ("{v}", some[0] * 3),
+        (f"{named}: " + "{v}", some[0]), (f"{named} = " + '"{v}"', f"your-{some[0]}-{named}"), (f"{named}s: " + "{v}", str(r.randrange(10**4))),
+        (f"{named} = " + "{v}", f"config.{some[0]}.{named}"),
+    ])
+
+
+def planted(docs: DataFrame, seed: str = "1", limit: int = PLANTED) -> tuple[DataFrame, DataFrame]:
+    """Pieces of documents with findings written into them (doc_id, text), and their labels (doc_id, start, length, is_secret).
+
+    Half of the findings are secrets. They depend on the seed and on the row alone. The ids are hashes of rows.
+    """
+    rows = docs.where("text IS NOT NULL").select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("doc_id"), "text")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, labels = [], []
+            for key, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                r = random.Random(f"{seed}:{key}")
+                first = r.randrange(max(1, len(text) - PIECE + 1))
+                parts = text[first : first + PIECE].split(" ")
+                words = [w for w in _PLAIN.findall(text[first : first + PIECE].lower())] or ["word"]
+                cuts = sorted(r.randrange(len(parts) + 1) for _ in range(EACH))
+                out, marks = " ".join(parts[: cuts[0]]), []
+                for at, until in zip(cuts, [*cuts[1:], len(parts)], strict=True):
+                    secret = r.random() < 0.5
+                    form, value = _secret(r) if secret else _look_alike(r, words)
+                    left, right = form.split("{v}")
+                    out += " " + left
+                    marks.append({"start": len(out), "length": len(value), "is_secret": int(secret)})
+                    out += value + right + " " + " ".join(parts[at:until])
+                texts.append(out)
+                labels.append(marks)
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int32()), ("is_secret", pa.int32())]))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(texts, pa.string()), pa.array(labels, kind)], names=["doc_id", "text", "labels"]
+            )
+
+    chosen = sampled(rows, limit, "doc_id").dropDuplicates(["doc_id"])
+    made = settled(chosen.mapInArrow(write, "doc_id long, text string, labels array<struct<start: long, length: int, is_secret: int>>"))
+    return made.select("doc_id", "text"), made.select("doc_id", F.inline("labels"))
+
+
+def _keys(labelled: DataFrame) -> list[str]:
+    return ["doc_id", "start"] + ["length"] * ("length" in labelled.columns)
+
+
+def unmatched(found: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Labelled findings that no candidate stands for; the forest can neither learn nor score them."""
+    return labelled.join(found.withColumn("length", F.length("value")), _keys(labelled), "left_anti")
 
 
 def train(found: DataFrame, labelled: DataFrame, limit: int = TRAIN):
     """A forest, or the share of secrets where the labels are all of one kind."""
-    marks = labelled.where("is_secret IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "start").agg(F.max("is_secret").cast("double").alias("label"))
-    rows = found.join(sampled(marks, limit, "doc_id", "start"), ["doc_id", "start"]).dropDuplicates(["doc_id", "start"])
-    rows = rows.orderBy("doc_id", "start").select("label", array_to_vector("features").alias("vector"))
+    keys = _keys(labelled)
+    marks = labelled.where("is_secret IS NOT NULL AND doc_id IS NOT NULL").groupBy(*keys).agg(F.max("is_secret").cast("double").alias("label"))
+    rows = found.withColumn("length", F.length("value")).join(sampled(marks, limit, *keys), keys)
+    # of several candidates at one start the longest is meant
+    rows = rows.groupBy(*keys, "label").agg(F.max(F.struct(F.length("value"), "value", "features"))["features"].alias("features"))
+    rows = rows.orderBy(*keys).select("label", array_to_vector("features").alias("vector"))
     rows = settled(rows)
     n, secrets = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or not 0 < secrets < n:

@@ -39,12 +39,14 @@ def others(spark):
 def _operators(others, none):
     labels, benchmark = others["no_labels" if none else "labels"], others["no_benchmark" if none else "benchmark"]
 
-    def found(docs):
-        return settled(secrets.candidates(docs, secrets.statistics(docs)))
+    def scanned(docs):
+        known = secrets.statistics(docs)
+        corpus, marks = secrets.planted(docs)
+        return secrets.scan(secrets.candidates(docs, known), secrets.train(secrets.candidates(corpus, known), marks))
 
     return {
         "mixture": lambda d: mixing.shares(settled(mixing.sizes(d))),
-        "secrets": lambda d: (lambda c: secrets.scan(c, secrets.train(c, secrets.rule_labels(c))))(found(d)),
+        "secrets": scanned,
         "quality": lambda d: quality.score(d, quality.learn(d, labels, F.lit(True))),
         "jaccard": jaccard.near_duplicates,
         "repeats": repeats.without_repeats,
