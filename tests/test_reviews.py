@@ -85,6 +85,17 @@ def test_identifier_screen(spark, text, found):
     assert row.x == found
 
 
+def test_no_text_that_a_pattern_matches_is_ruled_out_beforehand(spark):
+    texts = [
+        "ſſn on file", "DATE OF BıRTH", "date of bİrth", "Medİcal record 5", "PATIENT NAME", "mrn", "xmrn", "dobs", "a@b.c", "@", "é@ü.x",
+        "٥٥٥-١٢٣-٤٥٦٧", "(555) 123 4567", "٠١٢٣٤٥", "12345", "123-45-678", "", None, "s s n", "mob", "date of b",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = [F.when(F.rlike("text", F.lit("(?U)" + p)), what) for what, p in review.IDENTIFIERS]
+    rows = df.select("text", review.identifier(F.col("text")).alias("got"), F.coalesce(*plain).alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and len({r.want for r in rows}) == 5
+
+
 def test_triage_order_and_review_effect(spark, computed):
     ranked = triage.ranked(triage.triage(computed, events(spark, []))).collect()
     assert [r.patient_id for r in ranked] == ["a", "b", "c"]
