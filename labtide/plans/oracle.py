@@ -6,10 +6,60 @@ arithmetic step by step. Doubles are rounded to six places on both sides.
 
 from __future__ import annotations
 
-from labtide.functions.profiles import ANALYTES, SEVERITY_RANK, sigma_log, unit_key
-from labtide.functions.stats import ERFC_COEFFICIENTS, SQRT2, Z95, Z99
-from labtide.operators.quality import BOUNDS
-from labtide.operators.review import IDENTIFIERS
+import math
+
+# Fixed values, written out here so that a wrong constant in the library shows as a difference.
+SQRT2, Z95, Z99 = 1.4142135623730951, 1.959963985, 2.575829304
+# erfc by the rational Chebyshev fit, constant term first
+ERFC = [
+    -1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277,
+]
+# code, name, canonical unit, CVI, CVA, population low and high
+ANALYTES = [
+    ("HBA1C", "Hemoglobin A1c", "%", 0.012, 0.015, 4.0, 5.6),
+    ("LDL", "LDL cholesterol", "mg/dL", 0.078, 0.02, None, None),
+    ("TSH", "Thyrotropin (TSH)", "m[IU]/L", 0.177, 0.03, 0.45, 4.5),
+    ("CREAT", "Creatinine (serum/plasma)", "mg/dL", 0.044, 0.02, 0.59, 1.35),
+    ("EGFR", "eGFR (CKD-EPI 2021, creatinine)", "mL/min/{1.73_m2}", 0.053, 0.024, None, None),
+]
+# spellings of the canonical unit, then units to convert with factor and offset
+UNITS = {
+    "HBA1C": (["%", "%hb", "%{hb}", "percent"], [("mmol/mol", 0.09148, 2.152)]),
+    "LDL": (["mg/dl"], [("mmol/l", 38.67, 0.0)]),
+    "TSH": (["m[iu]/l", "miu/l", "uiu/ml", "u[iu]/ml", "mu/l"], []),
+    "CREAT": (["mg/dl"], [("umol/l", 1 / 88.42, 0.0)]),
+    "EGFR": (["ml/min/{1.73_m2}", "ml/min/1.73m2"], []),
+}
+LOINC = {
+    "HBA1C": ["4548-4", "17856-6"],
+    "LDL": ["13457-7", "18262-6", "2089-1"],
+    "TSH": ["3016-3", "11580-8"],
+    "CREAT": ["2160-0", "38483-4"],
+    "EGFR": ["98979-8"],
+}
+# analyte, place in its list, limit, side, severity, its rank, label
+THRESHOLDS = [
+    ("HBA1C", 0, 5.7, "above", "watch", 1, "raised glycation, between normal and diabetic"),
+    ("HBA1C", 1, 6.5, "above", "alert", 2, "glycation at the diabetic limit"),
+    ("LDL", 0, 130.0, "above", "info", 0, "LDL slightly over the desirable level"),
+    ("LDL", 1, 160.0, "above", "watch", 1, "LDL clearly raised"),
+    ("LDL", 2, 190.0, "above", "alert", 2, "LDL severely raised"),
+    ("TSH", 0, 4.5, "above", "watch", 1, "TSH over its interval; look at free T4"),
+    ("TSH", 1, 10.0, "above", "alert", 2, "TSH at a level that is usually treated"),
+    ("TSH", 2, 0.45, "below", "watch", 1, "TSH under its interval; look at free T4 and T3"),
+    ("TSH", 3, 0.1, "below", "alert", 2, "TSH hardly measurable"),
+    ("EGFR", 0, 60.0, "below", "watch", 1, "kidney stage G3a"),
+    ("EGFR", 1, 45.0, "below", "watch", 1, "kidney stage G3b"),
+    ("EGFR", 2, 30.0, "below", "alert", 2, "kidney stage G4"),
+    ("EGFR", 3, 15.0, "below", "alert", 2, "kidney stage G5"),
+]
+BOUNDS = {"HBA1C": (4.0, 15.0), "LDL": (20.0, 400.0), "CREAT": (0.3, 15.0), "TSH": (0.01, 100.0)}
+IDENTIFIERS = [
+    ("an email address", r"[\w.+-]+@[\w-]+\.[\w.]+"),
+    ("a phone number", r"\(?\b\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}\b"),
+    ("an ID number", r"\b\d{3}-\d{2}-\d{4}\b|\d{6,}"),
+    ("an identifier keyword", r"(?i)\b(mrn|dob|ssn|date of birth|medical record|patient name)\b"),
+]
 
 
 def _s(x) -> str:
@@ -24,15 +74,8 @@ def _rows(rows) -> str:
     return ", ".join("(" + ", ".join(_s(x) for x in row) + ")" for row in rows)
 
 
-_units: dict = {}
-for _a in ANALYTES:
-    for _u in [_a["unit"], *_a["aliases"]]:
-        _units.setdefault((_a["code"], unit_key(_u)), (1.0, 0.0))
-    for _u, _f, _o in _a["conversions"]:
-        _units.setdefault((_a["code"], unit_key(_u)), (_f, _o))
-
-_HORNER = _s(ERFC_COEFFICIENTS[-1])
-for _c in reversed(ERFC_COEFFICIENTS[:-1]):
+_HORNER = _s(ERFC[-1])
+for _c in reversed(ERFC[:-1]):
     _HORNER = f"({_s(_c)} + t * {_HORNER})"
 
 CTES: dict[str, str] = {
@@ -71,18 +114,13 @@ CTES: dict[str, str] = {
         CASE WHEN c_custkey % 13 = 12 THEN NULL ELSE 1940 + 3 * c_nationkey END AS birth_year FROM customer""",
     "analytes(code, display, unit, cvi, cva, sigma, pop_low, pop_high)": "VALUES "
     + _rows(
-        (a["code"], a["display"], a["unit"], a["cvi"], a["cva"], sigma_log(a), *(a["population"] or (None, None))[:2])
-        for a in ANALYTES
-    ),
-    "unit_map(code, ukey, factor, off)": "VALUES " + _rows((c, k, f, o) for (c, k), (f, o) in _units.items()),
-    "codes(lookup_key, analyte)": "VALUES "
-    + _rows((k, a["code"]) for a in ANALYTES for k in [a["code"], *a["loinc"]]),
-    "thr(code, ord, lim, direction, severity, rank, label)": "VALUES "
-    + _rows(
-        (a["code"], i, v, d, sev, SEVERITY_RANK[sev], label)
-        for a in ANALYTES
-        for i, (v, d, sev, label, _src) in enumerate(a["thresholds"])
+        (code, name, unit, cvi, cva, math.sqrt(math.log(1 + cvi**2) + math.log(1 + cva**2)), low, high)
+        for code, name, unit, cvi, cva, low, high in ANALYTES
     ),
+    "unit_map(code, ukey, factor, off)": "VALUES "
+    + _rows((c, *u) for c, (same, others) in UNITS.items() for u in [*((k, 1.0, 0.0) for k in same), *others]),
+    "codes(lookup_key, analyte)": "VALUES " + _rows((k, c) for c, loinc in LOINC.items() for k in [c, *loinc]),
+    "thr(code, ord, lim, direction, severity, rank, label)": "VALUES " + _rows(THRESHOLDS),
     # canonical value per reading; unprofiled codes keep theirs
     "norm": """SELECT o.*, a.code IS NOT NULL AS profiled,
         CASE WHEN a.code IS NULL THEN o.value ELSE o.value * u.factor + u.off END AS v
