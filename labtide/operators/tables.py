@@ -16,11 +16,11 @@ RESULT_KEY = ["patient_id", "code", "taken_at"]
 
 
 def first_wins(batch: DataFrame, sequence: str, counted: bool = False) -> DataFrame:
-    """One row per result key, the earliest by ``sequence``; combined before the shuffle, so a
-    key repeated millions of times costs each task one row. ``counted`` adds up the column ``rows``."""
+    """One row per result key, the earliest by ``sequence``, of equal ones the least by its values; combined before the
+    shuffle, so a key repeated millions of times costs each task one row. ``counted`` adds up the column ``rows``."""
     rest = [c for c in batch.columns if c not in (*RESULT_KEY, sequence, *(["rows"] if counted else []))]
     total = [F.sum("rows").alias("rows")] if counted else []
-    picked = batch.groupBy(*RESULT_KEY).agg(F.min_by(F.struct(*rest), sequence).alias("row"), *total)
+    picked = batch.groupBy(*RESULT_KEY).agg(F.min_by(F.struct(*rest), F.struct(sequence, *rest)).alias("row"), *total)
     return picked.select(*RESULT_KEY, "row.*", *(["rows"] if counted else []))
 
 

@@ -140,3 +140,10 @@ def test_another_session_reads_the_store(spark, tmp_path, rows):
     _ledger(spark, tmp_path).insert(observations(spark, rows))
     other = spark.newSession()
     assert _ledger(other, tmp_path).read().count() == len(rows)
+
+
+def test_of_rows_with_one_key_and_place_the_least_stays_in_any_order(spark):
+    rows = [("p1", "LDL", v, "mg/dL", START, "test") for v in (3.0, 1.0, 2.0)]
+    for order in (rows, rows[::-1]):
+        batch = observations(spark, order).coalesce(1).selectExpr("*", "0 AS seq")
+        assert [r.value for r in tables.first_wins(batch, "seq").collect()] == [1.0]
