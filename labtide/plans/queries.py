@@ -6,7 +6,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labtide.functions import profiles
@@ -19,7 +19,7 @@ from labtide.operators.barrier import settled
 from labtide.options import Options
 from labtide.plans import adapter
 from labtide.schemas import OBSERVATION_COLUMNS
-from labtide.session import shared_folder
+from labtide.session import checkpointed, shared_folder
 from labtide.sources import csv, fhir, landing
 from labtide.streaming import uploads
 
@@ -599,6 +599,14 @@ def _csv_rows(spark, sf_dir) -> DataFrame:
     )
 
 
+#: Results of one written document or file, so that writing it stays a small task.
+FILE_ROWS = 400_000
+
+
+def _files(rows: DataFrame, least: int) -> int:
+    return max(least, -(-rows.count() // FILE_ROWS))
+
+
 def _write_csv(rows: DataFrame, path: str, files: int) -> None:
     rows.select(*OBSERVATION_COLUMNS).repartition(files).write.option("header", True).option("escape", '"').csv(path)
 
@@ -606,7 +614,8 @@ def _write_csv(rows: DataFrame, path: str, files: int) -> None:
 def csv_import(spark, sf_dir):
     """Uploads with quoted line breaks, read in blocks."""
     path = _folder(spark, "csv")
-    _write_csv(_csv_rows(spark, sf_dir), path, 3)
+    rows = _csv_rows(spark, sf_dir)
+    _write_csv(rows, path, _files(rows, 3))
     accepted, _ = csv.read_csv(spark, path)
     return accepted.select("patient_id", "code", F.unix_timestamp("taken_at").alias("t"), *r("value"), "unit", "source")
 
@@ -614,10 +623,13 @@ def csv_import(spark, sf_dir):
 def _write_bundles(rows: DataFrame, path: str, documents: int) -> None:
     """Bundles of (event_id, body) rows, one document per event_id % documents, one entry a line."""
     number = (F.col("event_id") % documents).alias("document")
-    first = F.row_number().over(Window.partitionBy("document").orderBy("event_id")) == 1
-    entry = F.concat(F.when(first, "").otherwise(","), F.lit('{"fullUrl": "urn:{}", "resource": '), "body", F.lit("}"))
-    entries = rows.select("event_id", number, "body").select("document", F.col("event_id").alias("at"), entry.alias("value"))
-    numbers = entries.select("document").distinct()
+    numbers = checkpointed(rows.select(number, "event_id").groupBy("document").agg(F.min("event_id").alias("first")))
+    entry = F.concat(
+        F.when(F.col("event_id") == F.col("first"), "").otherwise(","), F.lit('{"fullUrl": "urn:{}", "resource": '), "body", F.lit("}")
+    )
+    entries = rows.select("event_id", number, "body").join(F.broadcast(numbers), "document").select(
+        "document", F.col("event_id").alias("at"), entry.alias("value")
+    )
     opening = numbers.select("document", F.lit(-1).cast("long").alias("at"), F.lit('{"resourceType": "Bundle", "link": [{"relation": "self"}], "entry": [').alias("value"))
     closing = numbers.select("document", F.lit((1 << 62)).alias("at"), F.lit('], "type": "collection"}').alias("value"))
     every = entries.unionByName(opening).unionByName(closing).repartition(documents, "document").sortWithinPartitions("document", "at")
@@ -631,7 +643,8 @@ def _imported(accepted: DataFrame) -> DataFrame:
 def fhir_bundle(spark, sf_dir):
     """Accepted results of Bundles that are read in blocks."""
     path = _folder(spark, "bundles")
-    _write_bundles(_fhir_texts(spark, sf_dir), path, 2)
+    texts = _fhir_texts(spark, sf_dir)
+    _write_bundles(texts, path, _files(texts, 2))
     return _imported(fhir.read_fhir(spark, path)[0])
 
 
@@ -645,9 +658,10 @@ def landing_folder(spark, sf_dir):
     """CSV files and a Bundle in one folder, and a CSV file with bad rows, which fails alone: loaded and failed files
     with their results."""
     path, rows = _folder(spark, "landing"), _csv_rows(spark, sf_dir)
-    _write_csv(rows.where("event_id % 3 = 0"), f"{path}/good", 2)
+    good, texts = rows.where("event_id % 3 = 0"), _fhir_texts(spark, sf_dir).where("event_id % 3 = 2")
+    _write_csv(good, f"{path}/good", _files(good, 2))
     _write_csv(rows.where("event_id % 3 = 1").withColumn("value", F.when(F.col("event_id") % 2 == 0, "high").otherwise(F.col("value"))), f"{path}/bad", 1)
-    _write_bundles(_fhir_texts(spark, sf_dir).where("event_id % 3 = 2"), f"{path}/bundle", 1)
+    _write_bundles(texts, f"{path}/bundle", _files(texts, 1))
     parts = landing.load(spark, path, csv_files="*.csv", json_files="*.txt", nested=True)
     observations, skipped, _, failed = parts
     count = F.count(F.lit(1)).alias("n")
@@ -721,7 +735,7 @@ def stream_equals_batch(spark, sf_dir):
     root, rows = _folder(spark, "stream"), _csv_rows(spark, sf_dir)
     store = uploads.Store(f"{root}/store")
     for turn, part in enumerate((rows.where("event_id % 2 = 0"), rows)):
-        _write_csv(part, f"{root}/in/{turn}", 2)
+        _write_csv(part, f"{root}/in/{turn}", _files(part, 2))
         uploads.run_csv(spark, f"{root}/in/*", store, f"{root}/checkpoint").awaitTermination()
     return uploads.current_status(spark, store).select(*KEY, "status")
 

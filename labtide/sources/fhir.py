@@ -11,6 +11,7 @@ from labtide.operators.normalise import with_analyte
 from labtide.schemas import OBSERVATION_COLUMNS
 from labtide.session import checkpointed
 from labtide.sources import bundles
+from labtide.sources.records import with_files
 
 # Code systems and accepted states.
 LOINC = "http://loinc.org"
@@ -82,7 +83,8 @@ def resources(skeletons: DataFrame, entries: DataFrame, errors: DataFrame) -> Da
     root = skeletons.join(errors.select("file"), "file", "left_anti").withColumn("root", F.try_parse_json("value"))
     kind = F.try_variant_get("root", "$.resourceType", "string")
     single = root.where(kind == "Observation").select("file", F.lit(0).cast("long").alias("position"), F.col("root").alias("resource"))
-    bundled = entries.join(root.where(kind == "Bundle").select("file"), "file", "left_semi").select(
+    whole = checkpointed(root.where(kind == "Bundle").select("file"))
+    bundled = with_files(entries, whole, "left_semi").select(
         "file", "position", F.try_variant_get(F.try_parse_json("value"), "$.resource", "variant").alias("resource")
     )
     return single.unionByName(bundled.where(F.col("resource").isNotNull() & (F.schema_of_variant("resource") != "VOID")))
