@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labtide.functions.text import stripped
 from labtide.operators.normalise import canonical_codes
 from labtide.schemas import CSV_RAGGED, OBSERVATION_COLUMNS
+from labtide.session import checkpointed
 from labtide.sources import records
 
 CSV_OPTIONS = {"escape": '"', "columnNameOfCorruptRecord": "ragged"}
@@ -97,7 +98,8 @@ def read_csv(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataF
     """
     found = records.blocks(spark.read, path)
     check_headers(found)
-    accepted, rejected = split(checked_rows(text_rows(spark.read, path, found)))
+    # looked at for bad rows, for any rows, and read: the files are parsed once
+    accepted, rejected = split(checkpointed(checked_rows(text_rows(spark.read, path, found))))
     if strict:
         worst = rejected.agg(F.min_by(F.struct("reject_reason", "seq"), "seq").alias("first")).first()["first"]
         if worst is None and accepted.isEmpty():
