@@ -47,7 +47,7 @@ def load(spark: SparkSession, folder: str, csv_files: str = "*.csv", json_files:
     only = lambda names: spark.read.option("pathGlobFilter", names).option("recursiveFileLookup", nested)
     only_csv = lambda: only(csv_files)
     found = records.blocks(only_csv(), folder)
-    csv_rows = csv.checked_rows(csv.text_rows(only_csv(), folder, found))
+    csv_rows = checkpointed(csv.checked_rows(csv.text_rows(only_csv(), folder, found)))
     wrong_header = csv.headers(found).where("NOT ok").select(
         "file", F.concat(F.lit("schema mismatch, got "), F.col("got")).alias("error")
     )
@@ -58,11 +58,11 @@ def load(spark: SparkSession, folder: str, csv_files: str = "*.csv", json_files:
     )
     skeletons, entries = bundles.load(only(json_files), folder)
     bad_docs = checkpointed(fhir.document_errors(skeletons, entries))
-    failed_csv = (
+    failed_csv = checkpointed(
         wrong_header.unionByName(bad_rows.join(wrong_header.select("file"), "file", "left_anti"))
     )
     accepted_csv, _ = csv.split(
-        csv_rows.withColumn("file", F.col("seq.file")).join(failed_csv.select("file"), "file", "left_anti").drop("file")
+        records.with_files(csv_rows.withColumn("file", F.col("seq.file")), failed_csv.select("file"), "left_anti").drop("file")
     )
     accepted_json, skipped, patients = fhir.split(settled(fhir.resources(skeletons, entries, bad_docs)))
     observations = accepted_csv.unionByName(accepted_json)
