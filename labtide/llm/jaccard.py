@@ -7,10 +7,12 @@ A document's set holds its distinct shingles (five words, A-Z in lower case); tw
    Documents with equal fingerprints are one class, represented by the smallest id.
 2. Meeting keys. Key i is the token of the set that comes first in the i-th random order, so two documents
    share it with the probability of their similarity; the number of keys makes a missed link less
-   likely than 1e-11, the order of a hash collision. Tokens found in a large part of a sample of documents
+   likely than 1e-11, the order of a hash collision. Tokens found in a large part of the documents
    are left out of these orders, so that boilerplate brings no documents together; the bound allows for it. A
    document made largely of such tokens also takes the first quarter of its tokens as keys (rare ones
-   first), where any two similar sets are certain to meet. The sample decides cost only, never a link.
+   first), where any two similar sets are certain to meet. The tokens of all documents are counted for this, in
+   `COUNTERS` counters that tokens share by their hash: a rare token that shares one with a common
+   token counts as common in every document alike, which costs keys, never a link.
 3. Stars. Members of a key meet its smallest member; verified links are joined into components. A
    group of any number of copies takes one comparison per member. Members that are left outside meet, by each
    of their keys, another member of the key's first component.
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labtide.llm.common import settled
+from labtide.llm.common import settled, small_batches
 from labtide.llm.components import components
 from labtide.llm.shingling import BASES, Rolling, WordHashes, binary, chunks, mixed, powers, spaced_lower
 
@@ -43,11 +45,15 @@ SHINGLE = 5
 SHARE = 75  # per cent of the union
 #: Chance of missing a link between two sets exactly at the threshold.
 MISS = 1e-11
-#: Documents sampled to find common tokens, the part of them a common token is in, and the most kept.
-SAMPLE_DOCS = 20_000
+#: Counters of tokens, those that travel together, and groups that tasks are summed in before all are.
+COUNTERS = 1 << 20
+COUNTER_BLOCK = 1 << 14
+COUNTER_PARTS = 64
+#: The part of the documents a common token is in, and the least number.
 COMMON_SHARE = 0.001
 COMMON_LEAST = 10
-COMMON_MOST = 200_000
+#: Rows handed to Python at a time; a row can hold two whole texts.
+BATCH_ROWS = 1000
 #: A set with fewer rare tokens than this uses only its first tokens as keys; with more than the other, only random ones.
 RARE_LEAST, RARE_MOST = 0.6, 0.85
 BITS_LEAST, BITS_MOST = 1024, 1 << 17
@@ -119,31 +125,60 @@ def meeting_keys(tokens: np.ndarray, common: np.ndarray, share: int) -> np.ndarr
     return np.unique(np.concatenate(parts))
 
 
-def common_tokens(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Tokens in a large part of a sample of documents, sorted. They change the cost of the join, not its links."""
-    total = docs.count()
-    part = min(1.0, SAMPLE_DOCS / max(1, total))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
+def _counters(tokens: np.ndarray) -> np.ndarray:
+    return ((tokens >> np.uint64(20)) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+
+def common_counters(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Whether each counter's tokens are in a large part of all documents. They change the cost of the join, not its links."""
+    least = max(COMMON_LEAST, COMMON_SHARE * docs.count())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = WordHashes(), np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for tokens in token_sets(binary(batch["text"]), hashes, shingle):
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], names=["token"])
+            found = [*token_sets(binary(batch["text"]), hashes, shingle)]
+            if found:
+                counts += np.bincount(_counters(np.concatenate(found)), minlength=COUNTERS)
+        if counts.any():
+            blocks, part = COUNTERS // COUNTER_BLOCK, int(counts.sum()) % COUNTER_PARTS
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, part, np.int32)),
+                    pa.array([x.tobytes() for x in counts.astype("<u4").reshape(blocks, -1)], pa.binary()),
+                ],
+                names=["block", "part", "counts"],
+            )
+
+    def summed(group: pa.Table, kind: str) -> np.ndarray:
+        total = np.zeros(COUNTER_BLOCK, "<u8")
+        for counts in group["counts"]:
+            total += np.frombuffer(counts.as_buffer(), kind)
+        return total
+
+    def added(group: pa.Table) -> pa.Table:
+        return pa.table({"block": group["block"].slice(0, 1), "counts": pa.array([summed(group, "<u4").tobytes()], pa.binary())})
+
+    def marked(group: pa.Table) -> pa.Table:
+        total = summed(group, "<u8")
+        # what many rare tokens together bring to each counter is no common token
+        marks = total >= least + 2 * total.mean()
+        return pa.table({"block": group["block"].slice(0, 1), "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
 
-    least = max(COMMON_LEAST, int(COMMON_SHARE * min(total, SAMPLE_DOCS)))
-    counted = picked.select("text").mapInArrow(emit, "token long").groupBy("token").count().where(F.col("count") >= least)
-    rows = counted.orderBy(F.desc("count"), "token").limit(COMMON_MOST).select("token").collect()
-    return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
+    parts = docs.select("text").mapInArrow(count, "block int, part int, counts binary").groupBy("block", "part").applyInArrow(added, "block int, counts binary")
+    out = np.zeros(COUNTERS, bool)
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        for r in parts.groupBy("block").applyInArrow(marked, "block int, marks binary").collect():
+            out[r["block"] * COUNTER_BLOCK : (r["block"] + 1) * COUNTER_BLOCK] = np.unpackbits(np.frombuffer(bytes(r["marks"]), np.uint8))
+    return out
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
-    """Size, fingerprint, bitmap and meeting keys of each document's set (no keys without an id)."""
+    """Size, fingerprint, bitmap and meeting keys of each document's set (no keys without an id), settled."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = docs.sparkSession.sparkContext.broadcast(common_tokens(plain, shingle))
+    sent = docs.sparkSession.sparkContext.broadcast(common_counters(plain, shingle))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, common = WordHashes(), sent.value
+        hashes, held = WordHashes(), sent.value
         for batch in batches:
             n, f1, f2, bits, keys = [], [], [], [], []
             for has_id, tokens in zip(batch["doc_id"].is_valid().to_pylist(), token_sets(binary(batch["text"]), hashes, shingle)):
@@ -151,6 +186,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> Dat
                 f1.append(mixed(tokens + np.uint64(BASES[0])).sum(dtype=np.uint64))
                 f2.append(mixed(tokens ^ np.uint64(BASES[1])).sum(dtype=np.uint64))
                 bits.append(bitmap(tokens) if len(tokens) else None)
+                common = tokens[held[_counters(tokens)]]
                 keys.append(meeting_keys(tokens, common, share).view(np.int64) if has_id else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -160,11 +196,12 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> Dat
                 names=["doc_id", "n", "f1", "f2", "bits", "keys"],
             )
 
-    return plain.mapInArrow(sketch, SKETCH)
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return settled(plain.mapInArrow(sketch, SKETCH))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold. `pairs` is settled and distinct."""
+    """The pairs (a, b) whose whole sets reach the threshold, settled. `pairs` is settled and distinct."""
     ids = settled(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     if ids.count() <= BROADCAST_IDS:
@@ -188,7 +225,8 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, share: i
 
     # the many texts travel to the few that they are compared with, sorted by these
     joined = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(check, "a long, b long")
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return settled(joined.mapInArrow(check, "a long, b long"))
 
 
 def _fold(bits: np.ndarray, to: int) -> np.ndarray:
@@ -354,7 +392,7 @@ def links(docs: DataFrame, sketch: DataFrame, shingle: int = SHINGLE, share: int
         near = (100 * F.col("n") >= share * F.col("n_a")) & (100 * F.col("n_a") >= share * F.col("n"))
         pairs = rows.join(centre, "key").where((F.col("doc_id") != F.col("a")) & near)
         pairs = pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        return settled(verified(settled(pairs), docs, shingle, share))
+        return verified(settled(pairs), docs, shingle, share)
 
     def still_apart(known: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members with their components so far, and the keys that hold several, with the first of them."""
@@ -428,7 +466,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE)
 
 def _near_duplicates(docs: DataFrame, shingle: int, share: int) -> DataFrame:
     """The same where an id has one text only."""
-    sketch = settled(sketches(docs, shingle, share))
+    sketch = sketches(docs, shingle, share)
     joined = components(links(docs, sketch, shingle, share))
     classes = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("named"))
     classes = classes.join(joined.withColumnRenamed("node", "named"), "named", "left").select(

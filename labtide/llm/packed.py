@@ -32,7 +32,6 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labtide.llm.common import whole
+from labtide.llm.common import small_batches, whole
 
 END_ID = 0
 BLOCK_IDS = 1 << 16
@@ -341,18 +340,6 @@ def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = stop
 
 
-@contextmanager
-def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows handed to Python at a time, for what is run inside: long texts fill the memory of larger batches."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, shard_bytes: int = SHARD_BYTES) -> None:
     """Files of packed ids under `path`/files and their table under `path`/shards; `path` must be new."""
     from tokenizers import Tokenizer
@@ -383,7 +370,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID,
     order = [F.col("doc_id").asc_nulls_last(), F.octet_length("text"), F.xxhash64("text"), F.col("turn")]
     placed = texts.withColumn("turn", F.monotonically_increasing_id()).repartitionByRange(files, *order).sortWithinPartitions(*order)
     found = placed.select(F.col("doc_id").cast("string").alias("name"), "text").mapInArrow(records, "record binary")
-    with _batches(spark, _BATCH_ROWS):
+    with small_batches(spark, _BATCH_ROWS):
         # the writer passes the bytes of a string on as they are and ends each record with a newline
         found.select(F.col("record").cast("string")).write.option("maxRecordsPerFile", 0).text(f"{path}/files")
 

@@ -103,6 +103,17 @@ def test_sets_of_common_tokens_still_meet():
         assert set(jaccard.meeting_keys(a, common, 75)) & set(jaccard.meeting_keys(b, common, 75)), part
 
 
+def test_common_tokens_are_counted_over_all_documents(spark):
+    """A passage held only by documents that a sample of 20,000 would leave out brings none of them together."""
+    ids = spark.range(24_000).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(1_000_000)).alias("place"))
+    long_ones = {r.doc_id for r in ids.where("place > 850000").limit(60).collect()}
+    passage = " ".join(f"common{i}" for i in range(12))
+    rows = [(i, f"{' '.join(f'w{i}x{j}' for j in range(120))} {passage}" if i in long_ones else f"short {i}") for i in range(24_000)]
+    found = jaccard.sketches(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).where(F.col("doc_id").isin(*long_ones))
+    most = found.select(F.explode("keys").alias("key")).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert found.count() == 60 and most == 1
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(a, r.randrange(1, a)) for a in range(2, 60) if a % 7] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5), (200, 201), (201, 200)]
