@@ -569,7 +569,8 @@ def stub_drafts(spark, sf_dir):
 
 def draft_audit(spark, sf_dir):
     """Stub drafts of every series as JSON, some with a wrong status or a missing field."""
-    computed = _reports(spark, sf_dir)
+    # drafts and their audit both read the reports, which are computed once
+    computed = checkpointed(_reports(spark, sf_dir).select(*KEY, "display", "signals", "not_assessed", "status"))
     stub = narrative.stub_drafts(computed)
     status = F.when(F.crc32("patient_id") % 3 == 0, "normal").otherwise(F.col("status"))
     broken = F.crc32("patient_id") % 7 == 0

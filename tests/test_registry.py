@@ -62,3 +62,8 @@ def test_text_queries_give_rows(spark, name):
 def test_entry_runs(spark):
     rows = contract.entry(spark).collect()
     assert len(rows) > 0 and rows[0].status == "alert"
+
+
+def test_draft_audit_computes_the_reports_once(spark):
+    plan = contract.queries()["draft_audit"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
