@@ -1,18 +1,21 @@
 """LM scoring: a hashed maximum-entropy model with class-factored softmax.
 
 The probability of a token is that of its class, given the tokens before it, times that of the token inside
-its class. The class is predicted by a maximum-entropy model whose features are hashed into `BUCKETS` rows of
-weights: the last word, the word before it (a skip), both together, and the classes of the last three. Inside a
-class a token has its share of the class's training count.
-
-1. Clusters. A mixture of unigram distributions on a bounded sample of training documents groups texts that use the
-   same words (languages, styles).
+its class. A class is a cluster with a frequency range; first the cluster is predicted, then the range inside it, each
+by a maximum-entropy model whose features are hashed into `BUCKETS` rows of weights: the last word, the word before
+it (a skip), both together, and the classes of the last three. Inside a class a token has its share of the class's
+training count.
+
+1. Clusters. A mixture of unigram distributions over all training documents groups texts that use the same words
+   (languages, styles). Every turn of its expectation maximisation is one pass: tasks add up the words of their
+   documents for all starts at once, and the sums are shuffled by word. A document counts for one cluster, drawn by
+   its memberships, so that a word is one addition.
 2. Counts. All training documents are counted by word and cluster of the document, combined per task and
    shuffled by word. The vocabulary stays a table; only the most frequent words, at most `DICTIONARY`, go to the
    tasks. Their class is their cluster with their frequency range. A rarer word's class is the cluster
    that its ending has most often, so that unseen words have one too.
-3. Weights. All training documents are learned from: each task takes gradient steps over its documents, starting
-   from weights learned the same way on the sample, and the tasks' weights are averaged by their tokens.
+3. Weights. The first weights are counts of each feature with each cluster and range over all training documents.
+   From these, each task takes gradient steps over its documents, and the tasks' weights are averaged by their tokens.
 4. Scores. Texts are scored in batches of numpy rows. The counts of rarer words are joined: each task lists their
    hashes per document and the counts come back as one sum per document.
 
@@ -26,7 +29,8 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,85 +38,152 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labtide.llm.common import least_count, sampled, settled
-from labtide.llm.shingling import WordHashes, binary, mixed, spaced_lower
+from labtide.llm.common import least_count, settled
+from labtide.llm.shingling import binary, mixed, spaced_lower
 
 CLUSTERS = 8
 #: Random starts of the cluster mixture, of which the best counts.
 STARTS = 4
-#: Documents from which the clusters and the first weights are learned.
-SAMPLE = 4_000
+#: Turns over all training documents; in the first ones memberships are smoothed, less each time.
+TURNS, SMOOTHED = 12, 10
+#: Documents that a task adds up in one turn; it sends back as many sums whatever it has read.
+TASK_BAGS = 25_000
 #: Most words sent to the tasks with their counts, and frequency ranges of their classes.
 DICTIONARY = 200_000
 RANGES = 8
 ENDING, ENDINGS = 3, 4096
-BUCKETS = 1 << 13
+BUCKETS = 1 << 14
 #: Rows of weights that travel together, and groups that tasks are averaged in before all are.
 BLOCK = 64
 PARTS = 1024
+SUM_BLOCK = 1 << 16
 CLUSTER_BUCKETS = 1 << 15
 #: Tokens per gradient step, and the learning rate.
 STEP, RATE = 2048, 0.15
-ROUNDS = 3
 #: Tokens that a learning task reads at least.
-TASK_TOKENS = 1_000_000
+TASK_TOKENS = 2_000_000
 _RARE_CLASSES = CLUSTERS * RANGES
 _END_CLASS = _RARE_CLASSES + CLUSTERS
 CLASSES = _END_CLASS + 1
+#: Choices per table of weights (a cluster or the end; a range or the rare words of a cluster), and tables per bucket.
+SIDE = max(CLUSTERS, RANGES) + 1
+TABLES = CLUSTERS + 1
+#: How much a feature's counts need to outweigh the mean, and the part of their logarithm that starts its weight.
+DOUBT, PART = 20.0, 0.4
 _NO_WORD = np.uint64(0x1B873593CC9E2D51)
 
 
 # ---- clusters
 
-def _bag(words: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique((hashes.of(words) & np.uint64(CLUSTER_BUCKETS - 1)).astype(np.int64), return_counts=True)
-
-
-def _mixture(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Log word distributions of the clusters, by expectation maximisation from several starts."""
-    flat = np.zeros((CLUSTERS, CLUSTER_BUCKETS), np.float32)
-    bags = [(x, n) for x, n in bags if len(x)]
-    if len(bags) < CLUSTERS:
-        return flat
-    x = np.concatenate([b[0] for b in bags])
-    n = np.concatenate([np.log1p(b[1]) for b in bags])
-    owner = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
-    starts = np.searchsorted(owner, np.arange(len(bags)))
-    every = np.bincount(x, n, CLUSTER_BUCKETS) + 0.1
-    best = (-np.inf, flat)
-    for seed in range(STARTS):
-        random = np.random.default_rng(seed)
-        share = random.dirichlet(np.full(CLUSTERS, 0.3), len(bags))
-        for turn in range(25):
-            words = np.stack([np.bincount(x, n * share[owner, k], CLUSTER_BUCKETS) for k in range(CLUSTERS)])
-            words = words + 0.02 * every / every.sum() * (words.sum(1, keepdims=True) + 1)
-            log = np.log(words / words.sum(1, keepdims=True))
-            fit = np.stack([np.add.reduceat(n * log[k, x], starts) for k in range(CLUSTERS)], 1) + np.log(share.mean(0) + 1e-6)
-            fit = fit * min(1.0, 0.05 * (turn + 1))
-            top = fit.max(1, keepdims=True)
-            share = np.exp(fit - top)
-            total = float((top[:, 0] + np.log(share.sum(1))).sum())
-            share /= share.sum(1, keepdims=True)
-        if total > best[0]:
-            best = (total, log.astype(np.float32))
-    return best[1]
+def _bag(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+    return np.unique((codes & np.uint32(CLUSTER_BUCKETS - 1)).astype(np.uint16), return_counts=True)
+
+
+class Space(dict):
+    """Arrays that are used again at every step; fresh memory costs more than the arithmetic."""
+
+    def of(self, name: str, *shape: int, dtype: type = np.float32) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self or len(self[name]) < size:
+            self[name] = np.empty(size, dtype)
+        return self[name][:size].reshape(shape)
+
+
+Sums = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _sums(bags: Iterable[tuple[np.ndarray, np.ndarray]], log: np.ndarray, prior: np.ndarray, heat: float) -> Sums:
+    """Words (buckets by starts and clusters), memberships and log likelihoods under all starts at once."""
+    words, flat_prior = np.zeros(log.size, np.float32), prior.ravel()
+    members, total = np.zeros(prior.shape), np.zeros(len(prior))
+    space, bags = Space(), ((x, np.log1p(n, dtype=np.float32)) for x, n in bags if len(x))
+    columns = np.arange(len(prior)) * CLUSTERS
+    while held := list(islice(bags, 256)):
+        fit, codes = np.empty((len(held), log.shape[1])), np.empty(len(held), np.uint64)
+        for i, (x, n) in enumerate(held):
+            fit[i] = n @ log.take(x, axis=0, out=space.of("log", len(x), log.shape[1]), mode="clip")
+            codes[i] = zlib.crc32(x)
+        fit = ((fit + flat_prior) * heat).reshape(len(held), *prior.shape)
+        top = fit.max(2, keepdims=True)
+        share = np.exp(fit - top)
+        sums = share.sum(2, keepdims=True)
+        share /= sums
+        total += (top + np.log(sums)).sum((0, 2))
+        members += share.sum(0)
+        # the same draw for the same words, whatever task reads them
+        draw = (mixed(codes[:, None] + (columns.astype(np.uint64) << np.uint64(32))) >> np.uint64(11)) / (1 << 53)
+        drawn = columns + np.minimum((share.cumsum(2) < draw[:, :, None]).sum(2), CLUSTERS - 1)
+        for (x, n), mine in zip(held, drawn):
+            at = x.astype(np.int64) * log.shape[1]
+            words[mine[:, None] + at] += n
+    return words.reshape(log.shape), members, total
+
+
+def _mixture(bags, turn: Callable[..., Sums] = _sums) -> np.ndarray:
+    """Log word distributions of the clusters, a column each, by expectation maximisation from several starts."""
+    starts = [np.random.default_rng(seed).normal(size=(CLUSTER_BUCKETS, CLUSTERS)) for seed in range(STARTS)]
+    log, prior = np.concatenate(starts, 1).astype(np.float32), np.zeros((STARTS, CLUSTERS))
+    for i in range(TURNS):
+        words, members, total = turn(bags, log, prior, min(1.0, (i + 1) / SMOOTHED))
+        if members[0].sum() < CLUSTERS - 0.5:
+            return np.zeros((CLUSTER_BUCKETS, CLUSTERS), np.float32)
+        words = words.reshape(CLUSTER_BUCKETS, STARTS, CLUSTERS).astype(float)
+        every = words[:, :1].sum(2, keepdims=True) + 0.1
+        words += 0.02 * every / every.sum() * (words.sum(0) + 1)
+        log = np.log(words / words.sum(0)).astype(np.float32).reshape(log.shape)
+        prior = np.log(members / members.sum(1, keepdims=True) + 1e-6)
+    return np.ascontiguousarray(log.reshape(words.shape)[:, int(total.argmax())])
+
+
+def _summed(tasks: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], size: int) -> np.ndarray:
+    """The sum of one array of `size` numbers per task, added up in blocks that are shuffled."""
+    blocks = math.ceil(size / SUM_BLOCK)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sums(batches)
+        if found is not None:
+            parts = [found[b * SUM_BLOCK : (b + 1) * SUM_BLOCK].astype(np.float32).tobytes() for b in range(blocks)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(parts, pa.binary())], names=["block", "sums"])
+
+    def add(group: pa.Table) -> pa.Table:
+        # in order of content, so that the sum does not depend on the order of arrival
+        total = sum(np.frombuffer(w, np.float32).astype(float) for w in sorted(group["sums"].to_pylist()))
+        return pa.table({"block": group["block"].slice(0, 1), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    out = np.zeros(size)
+    for r in tasks.mapInArrow(cut, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary").collect():
+        part = np.frombuffer(bytes(r["sums"]), np.float32)
+        out[r["block"] * SUM_BLOCK :][: len(part)] = part
+    return out
+
+
+def _sums_of_all(bags: DataFrame, log: np.ndarray, prior: np.ndarray, heat: float) -> Sums:
+    sent = bags.sparkSession.sparkContext.broadcast((log, prior))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        rows = ((x, n) for batch in batches for x, n in zip(batch["x"].to_pylist(), batch["n"].to_pylist()))
+        held = ((np.frombuffer(x, np.uint16), np.frombuffer(n, np.uint8 if 2 * len(n) == len(x) else np.int32)) for x, n in rows)
+        return np.concatenate([part.ravel() for part in _sums(held, *sent.value, heat)])
+
+    found = _summed(bags, one, log.size + prior.size + len(prior))
+    sent.unpersist()
+    words, members, total = np.split(found, [log.size, log.size + prior.size])
+    return words.reshape(log.shape), members.reshape(prior.shape), total
 
 
 def clusters(docs: DataFrame, train: Column) -> np.ndarray:
-    picked = sampled(docs.where(train).select("doc_id", "text"), SAMPLE, "doc_id", "text").select("text")
-    rows = picked.withColumn("text", F.col("text").cast("binary"))
+    """Log word distributions of the clusters, from all training documents."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found = [_bag(spaced_lower(t), hashes) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x.astype(np.int32).tobytes() for x, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())],
-                names=["x", "n"],
-            )
+            found = [_bag(spaced_lower(t)) for t in binary(batch["text"])]
+            # counts take a byte each, or four in a text that needs it
+            counts = [n.astype(np.uint8 if len(n) and n.max() < 256 else np.int32).tobytes() for _, n in found]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array(counts, pa.binary())], names=["x", "n"])
 
-    out = [(np.frombuffer(bytes(r["x"]), np.int32), np.frombuffer(bytes(r["n"]), np.int32)) for r in rows.mapInArrow(bags, "x binary, n binary").collect()]
-    return _mixture(sorted(out, key=lambda b: (b[0].tobytes(), b[1].tobytes())))
+    held = settled(docs.where(train).select("text").mapInArrow(bags, "x binary, n binary"))
+    return _mixture(held.coalesce(max(1, math.ceil(held.count() / TASK_BAGS))), _sums_of_all)
 
 
 # ---- counts
@@ -122,14 +193,14 @@ def word_counts(docs: DataFrame, train: Column, centres: np.ndarray) -> DataFram
     sent = docs.sparkSession.sparkContext.broadcast(centres)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, log = WordHashes(), sent.value
+        log = sent.value
         for batch in batches:
             held = [Counter() for _ in range(CLUSTERS)]
             for text in binary(batch["text"]):
                 words = spaced_lower(text)
                 if words:
-                    x, n = _bag(words, hashes)
-                    held[int((log[:, x] * np.log1p(n)).sum(1).argmax())].update(words)
+                    x, n = _bag(words)
+                    held[int((np.log1p(n, dtype=np.float32) @ log[x]).argmax())].update(words)
             for k, counts in enumerate(held):
                 if counts:
                     yield pa.RecordBatch.from_arrays(
@@ -212,7 +283,7 @@ def _classes(known: dict) -> np.ndarray:
 
 
 def _features(tokens: np.ndarray, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Buckets of each token's features. `first` marks the first token of each text; nothing before it is seen."""
+    """Buckets of the tokens' features, a column per token. `first` marks the first token of each text; nothing before it is seen."""
     place = np.arange(len(tokens)) - np.maximum.accumulate(np.where(first, np.arange(len(tokens)), 0))
     code, kind = mixed(tokens.astype(np.uint64) + np.uint64(1)), classes[tokens].astype(np.uint64)
 
@@ -224,37 +295,63 @@ def _features(tokens: np.ndarray, classes: np.ndarray, first: np.ndarray) -> np.
     one, two = back(code, 1), back(code, 2)
     classes_before = back(kind, 1) * np.uint64(1_000_003) + back(kind, 2) * np.uint64(999_983) + back(kind, 3)
     hashed = [one, two + np.uint64(0x51ED27), one * np.uint64(3) + mixed(two), mixed(classes_before) ^ np.uint64(0xABCDEF)]
-    out = np.empty((len(tokens), len(hashed) + 1), np.int64)
-    out[:, 0] = 0
+    out = np.zeros((len(hashed) + 1, len(tokens)), np.int64)
     for i, h in enumerate(hashed):
-        out[:, i + 1] = 1 + (mixed(h) % np.uint64(BUCKETS - 1)).astype(np.int64)
+        out[i + 1] = 1 + (mixed(h) % np.uint64(BUCKETS - 1)).astype(np.int64)
     return out
 
 
-def _raw(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Sums of the weights of each token's features, with a largest of zero; the first feature is row 0 for every token."""
-    raw = weights[features[:, 1]]
-    raw += weights[0]
-    for j in range(2, features.shape[1]):
-        raw += weights[features[:, j]]
-    raw -= raw.max(1, keepdims=True)
-    return raw
+def _choices(features: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of weights and what is chosen: the cluster (or the end) of every token, then the range of those in a cluster."""
+    rare = kinds >= _RARE_CLASSES
+    cluster = np.where(rare, kinds - _RARE_CLASSES, kinds // RANGES)
+    inner = np.flatnonzero(cluster < CLUSTERS)
+    rows = features * TABLES
+    chosen = np.where(rare, RANGES, kinds % RANGES)
+    return np.concatenate([rows, rows[:, inner] + 1 + cluster[inner]], 1), np.concatenate([cluster, chosen[inner]])
+
+
+def _raw(rows: np.ndarray, weights: np.ndarray, space: Space) -> np.ndarray:
+    """Sums of the weights of each choice's features, with a largest of zero; a column per choice."""
+    table, n = weights.reshape(-1, SIDE), rows.shape[1]
+    raw = table.take(rows[0], axis=0, out=space.of("raw", n, SIDE), mode="clip")
+    for row in rows[1:]:
+        raw += table.take(row, axis=0, out=space.of("more", n, SIDE), mode="clip")
+    turned = space.of("turned", SIDE, n)
+    turned[:] = raw.T
+    turned -= turned.max(0)
+    return turned
+
+
+def _log_choices(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    raw = _raw(rows, weights, Space())
+    return raw - np.log(np.exp(raw).sum(0))
 
 
 def _log_classes(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Log probabilities of all classes, a row per token."""
-    raw = _raw(features, weights)
-    return raw - np.log(np.exp(raw).sum(1, keepdims=True))
+    out = np.empty((features.shape[1], CLASSES), np.float32)
+    top = _log_choices(features * TABLES, weights)
+    for k in range(CLUSTERS):
+        inner = top[k] + _log_choices(features * TABLES + 1 + k, weights)
+        out[:, k * RANGES : (k + 1) * RANGES] = inner[:RANGES].T
+        out[:, _RARE_CLASSES + k] = inner[RANGES]
+    out[:, _END_CLASS] = top[CLUSTERS]
+    return out
 
 
-def _log_class(features: np.ndarray, kinds: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def _log_class(features: np.ndarray, kinds: np.ndarray, weights: np.ndarray, space: Space) -> np.ndarray:
     """Log probability of each token's own class."""
-    raw = _raw(features, weights)
-    own = raw[np.arange(len(kinds)), kinds]
-    return own - np.log(np.exp(raw, out=raw).sum(1))
+    rows, chosen = _choices(features, kinds)
+    raw = _raw(rows, weights, space)
+    own = raw[chosen, np.arange(len(chosen))]
+    own -= np.log(np.exp(raw, out=raw).sum(0))
+    out = own[: len(kinds)]
+    out[kinds != _END_CLASS] += own[len(kinds) :]
+    return out
 
 
-def _token_chunks(batch: pa.RecordBatch, ids: Ids, most: int = 100_000) -> Iterator[tuple]:
+def _token_chunks(batch: pa.RecordBatch, ids: Ids, most: int = 8_000) -> Iterator[tuple]:
     """Texts' token numbers joined, marks of first tokens, and the rows and their word lists."""
     rows, parts, held = [], [], 0
     for i, text in enumerate(binary(batch["text"])):
@@ -279,39 +376,76 @@ def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 # ---- weights
 
 def start_weights(known: dict) -> np.ndarray:
-    """Zero, but for the first row: the logarithms of the classes' training counts."""
+    """No choice for unused places; else zero, but for the first row: the logarithms of the classes' training counts."""
     counts = np.bincount(known["class"], known["n"], CLASSES) if len(known["n"]) else np.zeros(CLASSES)
     counts[_RARE_CLASSES:_END_CLASS] = known["rare_total"]
     counts[_END_CLASS] = known["ends"]
-    weights = np.zeros((BUCKETS, CLASSES), np.float32)
-    weights[0] = np.log((counts + 0.5) / (counts + 0.5).sum())
-    return weights
+    counts += 0.5
+    weights = np.zeros((BUCKETS, TABLES, SIDE), np.float32)
+    weights[0] = -np.inf
+    inner = np.concatenate([counts[:_RARE_CLASSES].reshape(CLUSTERS, RANGES), counts[_RARE_CLASSES:_END_CLASS, None]], 1)
+    weights[0, 0, :TABLES] = np.log(np.append(inner.sum(1), counts[_END_CLASS]) / counts.sum())
+    weights[0, 1:, : RANGES + 1] = np.log(inner / inner.sum(1, keepdims=True))
+    return weights.reshape(BUCKETS, -1)
+
+
+def counted_weights(docs: DataFrame, known: dict, weights: np.ndarray) -> np.ndarray:
+    """The weights with those of each feature set from its counts with every choice, over all documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        ids, classes = Ids(sent.value), _classes(sent.value)
+        found = np.zeros(weights.size)
+        for batch in batches:
+            for (tokens, first), _, _ in _token_chunks(batch, ids):
+                rows, chosen = _choices(_features(tokens, classes, first)[1:], classes[tokens])
+                np.add.at(found, (rows * SIDE + chosen).ravel(), 1.0)
+        return found
+
+    shape = (BUCKETS, TABLES, SIDE)
+    counts = _summed(_learners(docs, known), count, weights.size).reshape(shape)
+    mean = np.exp(weights.reshape(shape)[0].astype(float))
+    ratio = (counts + DOUBT * mean) / (counts.sum(2, keepdims=True) + DOUBT) / np.where(mean > 0, mean, 1)
+    out = (PART * np.log(np.where(mean > 0, ratio, 1))).astype(np.float32)
+    out[0] = weights.reshape(shape)[0]
+    return out.reshape(weights.shape)
+
+
+def _learners(docs: DataFrame, known: dict) -> DataFrame:
+    """The texts in tasks: one sends back as many numbers whatever it has read, so each reads a fair share of the tokens."""
+    return docs.select("text").coalesce(max(1, math.ceil(known["tokens"] / TASK_TOKENS)))
 
 
-def _descend(tokens: np.ndarray, first: np.ndarray, classes: np.ndarray, weights: np.ndarray, grown: np.ndarray) -> None:
+def _descend(tokens: np.ndarray, first: np.ndarray, classes: np.ndarray, weights: np.ndarray, grown: np.ndarray, space: Space) -> None:
     """Gradient steps over the tokens in order, in place; `grown` holds each row's squared gradients."""
-    features, target = _features(tokens, classes, first), classes[tokens]
+    features, kinds, table = _features(tokens, classes, first), classes[tokens], weights.reshape(-1, SIDE)
     for at in range(0, len(tokens), STEP):
-        x, y = features[at : at + STEP], target[at : at + STEP]
-        error = _raw(x, weights)
+        rows, chosen = _choices(features[:, at : at + STEP], kinds[at : at + STEP])
+        n = len(chosen)
+        error = _raw(rows, weights, space)
         np.exp(error, out=error)
-        error /= error.sum(1, keepdims=True)
-        error[np.arange(len(y)), y] -= 1
-        # the first feature is the same row for every token
-        slope = error.sum(0)
-        grown[0] += (slope * slope).mean()
-        weights[0] -= RATE / np.sqrt(grown[0]) * slope
-        flat = x[:, 1:].T.ravel()
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        rows, times = flat[starts], np.diff(np.append(starts, len(flat)))
-        slope, several = error[order[starts] % len(y)], times > 1
-        if several.any():  # most rows occur once in a step and need no sum
-            sizes = times[several]
-            slope[several] = np.add.reduceat(error[order[np.repeat(several, times)] % len(y)], np.cumsum(sizes) - sizes, axis=0)
-        grown[rows] += (slope * slope).mean(1)
-        weights[rows] -= (RATE / np.sqrt(grown[rows]))[:, None] * slope
+        error /= error.sum(0)
+        error[chosen, np.arange(n)] -= 1
+        by_choice = space.of("raw", n, SIDE)
+        by_choice[:] = error.T
+        # row and choice in one number, which sorts faster than a stable order is found
+        keyed = space.of("keyed", *rows.shape, dtype=np.int64)
+        np.left_shift(rows, 16, out=keyed)
+        keyed |= np.arange(n)
+        keyed = keyed.ravel()
+        keyed.sort()
+        place = np.bitwise_and(keyed, 0xFFFF, out=space.of("place", len(keyed), dtype=np.int64))
+        keyed >>= 16
+        starts = np.flatnonzero(np.concatenate([[True], keyed[1:] != keyed[:-1]]))
+        hit = keyed[starts]
+        slope = by_choice.take(place, axis=0, out=space.of("slope", len(place), SIDE), mode="clip")
+        slope = np.add.reduceat(slope, starts, axis=0, out=space.of("sum", len(starts), SIDE))
+        rate = grown[hit] + np.einsum("ij,ij->i", slope, slope) / SIDE
+        grown[hit] = rate
+        slope *= (RATE / np.sqrt(rate))[:, None]
+        now = table.take(hit, axis=0, out=space.of("now", len(hit), SIDE), mode="clip")
+        now -= slope
+        table[hit] = now
 
 
 def learned(docs: DataFrame, known: dict, weights: np.ndarray) -> np.ndarray:
@@ -320,11 +454,11 @@ def learned(docs: DataFrame, known: dict, weights: np.ndarray) -> np.ndarray:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, began = sent.value
-        ids, classes = Ids(known), _classes(known)
-        mine, grown, seen = began.copy(), np.ones(BUCKETS, np.float32), 0
+        ids, classes, space = Ids(known), _classes(known), Space()
+        mine, grown, seen = began.copy(), np.ones(BUCKETS * TABLES, np.float32), 0
         for batch in batches:
             for (tokens, first), _, _ in _token_chunks(batch, ids):
-                _descend(tokens, first, classes, mine, grown)
+                _descend(tokens, first, classes, mine, grown, space)
                 seen += len(tokens)
         if seen:
             blocks = BUCKETS // BLOCK
@@ -338,7 +472,7 @@ def learned(docs: DataFrame, known: dict, weights: np.ndarray) -> np.ndarray:
             )
 
     def average(group: pa.Table) -> pa.Table:
-        total, tokens = np.zeros(BLOCK * CLASSES), 0
+        total, tokens = np.zeros(BLOCK * TABLES * SIDE), 0
         # in order of content, so that the sum does not depend on the order of arrival
         for w, n in sorted(zip(group["weights"].to_pylist(), group["tokens"].to_pylist())):
             total += np.frombuffer(w, np.float32).astype(float) * n
@@ -349,13 +483,11 @@ def learned(docs: DataFrame, known: dict, weights: np.ndarray) -> np.ndarray:
         })
 
     schema = "block int, part int, weights binary, tokens long"
-    # a task sends back as many weights whatever it has read, so each one reads a fair share of the tokens
-    tasks = docs.select("text").coalesce(max(1, math.ceil(known["tokens"] / TASK_TOKENS)))
-    sent_back = tasks.mapInArrow(learn, schema).groupBy("block", "part").applyInArrow(average, schema)
+    sent_back = _learners(docs, known).mapInArrow(learn, schema).groupBy("block", "part").applyInArrow(average, schema)
     rows = sent_back.groupBy("block").applyInArrow(average, schema).collect()
     out = weights.copy()
     for r in rows:
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["weights"]), np.float32).reshape(BLOCK, CLASSES)
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["weights"]), np.float32).reshape(BLOCK, -1)
     return out
 
 
@@ -364,9 +496,7 @@ def fit(docs: DataFrame, train: Column) -> tuple[dict, DataFrame, np.ndarray]:
     known, rare = vocabulary(docs, train)
     weights = start_weights(known)
     if known["ends"]:
-        warm = settled(sampled(docs.where(train).select("doc_id", "text"), SAMPLE // 2, "text", "doc_id").select("text").repartition(4, F.xxhash64("text")))
-        for _ in range(ROUNDS):
-            weights = learned(warm, known, weights)
+        weights = counted_weights(docs.where(train), known, weights)
         weights = learned(docs.where(train), known, weights)
     return known, rare, weights
 
@@ -380,7 +510,7 @@ def score(docs: DataFrame, known: dict, rare: DataFrame, weights: np.ndarray) ->
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weights = sent.value
-        ids, classes = Ids(known), _classes(known)
+        ids, classes, space = Ids(known), _classes(known), Space()
         size = ids.size
         base = np.concatenate([np.log10(known["n"] + 0.5), np.zeros(CLUSTERS), [math.log10(known["ends"] + 0.5)]])
         inside = np.concatenate([known["inside"], -np.log10(known["rare_total"]), [0.0]])
@@ -391,7 +521,7 @@ def score(docs: DataFrame, known: dict, rare: DataFrame, weights: np.ndarray) ->
                 log = np.empty(len(tokens))
                 for at in range(0, len(tokens), STEP):
                     part = slice(at, at + STEP)
-                    log[part] = _log_class(features[part], kinds[part], weights)
+                    log[part] = _log_class(features[:, part], kinds[part], weights, space)
                 starts = np.flatnonzero(first)
                 plain += np.add.reduceat(base[tokens], starts).tolist()
                 model += (np.add.reduceat(log / math.log(10) + inside[tokens], starts)).tolist()

@@ -279,3 +279,32 @@ def test_clusters_are_the_best_of_four_starts(monkeypatch):
     monkeypatch.setattr(np.random, "default_rng", lambda seed: seeds.append(seed) or real(seed))
     maxent._mixture([(np.array([i, i + 1]), np.array([2, 3])) for i in range(20)])
     assert seeds == [0, 1, 2, 3]
+
+
+def test_clusters_come_from_all_training_documents(spark, monkeypatch):
+    """More documents than a sample held; every one is a member in every turn, the same in one task or several."""
+    turns, real = [], maxent._sums_of_all
+    monkeypatch.setattr(maxent, "_sums_of_all", lambda *given: turns.append((given[1:], real(*given))) or turns[-1][1])
+    texts = [f"{'abc'[i % 3]}{i % 7} {'abc'[i % 3]}{i % 11} w{i % 13}" for i in range(4_500)]
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    maxent.clusters(rows, F.col("doc_id") % 9 != 0)
+    assert len(turns) == maxent.TURNS
+    for (log, prior, heat), (words, members, total) in (turns[0], turns[-1]):
+        assert np.allclose(members.sum(1), 4_000, atol=0.01)
+        alone = maxent._sums((maxent._bag(t.encode().split()) for i, t in enumerate(texts) if i % 9), log, prior, heat)
+        assert np.allclose(words, alone[0], rtol=1e-3, atol=1e-2) and np.allclose(total, alone[2], rtol=1e-4)
+
+
+def test_first_weights_come_from_all_training_documents(spark, docs):
+    """A feature's first weight leans to what follows it in all documents."""
+    known, _ = maxent.vocabulary(docs, F.lit(True))
+    start = maxent.start_weights(known)
+    weights = maxent.counted_weights(docs, known, start)
+    ids, classes = maxent.Ids(known), maxent._classes(known)
+    gained = []
+    for _, text in PAIRS:
+        tokens = np.append(ids.of((text or "").lower().encode().split()), ids.size + maxent.CLUSTERS)
+        features = maxent._features(tokens, classes, np.arange(len(tokens)) == 0)
+        before, after = (maxent._log_class(features, classes[tokens], w, maxent.Space()).sum() for w in (start, weights))
+        gained.append(after - before)
+    assert sum(gained) > 0
