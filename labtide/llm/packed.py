@@ -26,6 +26,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import os
@@ -206,6 +207,7 @@ def cut_at_spaces(vocabulary: str) -> bool:
 
 class Encoder:
     """The tokenizer, which sees each piece of text once: ids of short pieces are remembered, up to `_REMEMBERED` of them.
+    Beyond that, those met again since they were learned stay, and the others go.
 
     A piece is a word with the space before it, known by the word, or anything else, known by itself behind a mark. Arrow
     finds the distinct pieces of many texts and puts their ids back in order. New
@@ -225,6 +227,7 @@ class Encoder:
             self.begins[sign] = np.zeros(max(tokens.values()) + 1, bool)
             self.begins[sign][[i for token, i in tokens.items() if token.startswith(written)]] = True
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(found.ids, self.kind) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -240,6 +243,8 @@ class Encoder:
         """Remember words behind a space, without the signs at their ends first."""
         known, ends = self.known, {}
         for word in words:
+            if word.isalnum():
+                continue
             stem = word.rstrip(_SIGNS)
             if len(stem) < len(word) and stem and stem[-1] < _LATIN_END and stem[-1].isalnum():
                 ends[word] = stem
@@ -269,9 +274,11 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         """Remember the pieces that are new."""
         if len(self.known) > _REMEMBERED:
-            self.known = {}
+            kept = self.again if len(self.again) < _REMEMBERED // 2 else self.again & pieces
+            self.known, self.again = {piece: self.known[piece] for piece in kept}, set()
         new = pieces.difference(self.known)
-        words = [piece for piece in new if not _NOT_A_WORD(piece)]
+        self.again |= pieces.difference(new)
+        words = [piece for piece in new if piece.isalnum() or not _NOT_A_WORD(piece)]
         if words:
             self._learn_words(words)
         others = list(new.difference(words))
@@ -293,7 +300,7 @@ class Encoder:
         # the distinct pieces of all texts; an odd text, in which not every space is a cut, counts as one without any
         split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         places, coded = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
-        pieces, firsts = coded.dictionary.to_pylist(), split.flatten().take(pa.array(places[:-1])).to_pylist()
+        pieces, firsts = _listed(coded.dictionary), _listed(split.flatten().take(pa.array(places[:-1])))
         firsts = [_ITSELF + first for first in firsts]
         self._learn({*pieces, *firsts})
         ids = [*map(self.known.__getitem__, pieces), *map(self.known.__getitem__, firsts), end]
@@ -308,6 +315,12 @@ class Encoder:
         return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), data])
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(vocabulary: str, kind: str) -> Encoder:
+    """The worker's encoder, which the tasks it runs one after another share with the pieces remembered."""
+    return Encoder(vocabulary, kind)
+
+
 #: How a byte-level vocabulary writes a space and a line end at the start of a token.
 _WRITTEN = {" ": "\u0120", "\n": "\u010a"}
 #: Marks a piece that stands for itself, by a character that no text holds; others stand behind one space.
@@ -321,6 +334,11 @@ _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LATIN_END = "\u0250"
 
 
+def _listed(texts: pa.Array) -> list[str]:
+    """The texts as a list, by way of numpy, which takes a fraction of the time of `to_pylist`."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def _text_of(piece: str) -> str:
     return piece[1:] if piece[:1] == _ITSELF else " " + piece
 
@@ -353,7 +371,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID,
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        writer, encoder = Writer(TaskContext.get().partitionId(), width, block_ids), Encoder(sent.value, kind)
+        writer, encoder = Writer(TaskContext.get().partitionId(), width, block_ids), encoder_of(sent.value, kind)
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
             for group in _groups(batch):

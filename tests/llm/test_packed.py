@@ -60,6 +60,26 @@ def test_pieces_have_the_ids_of_the_whole_text(texts):
     assert ids == [[*TOKENIZER.encode(t, add_special_tokens=False).ids, 7] for t in texts]
 
 
+def test_pieces_met_again_stay_remembered(monkeypatch):
+    """Once too many pieces are held, only those met once go; before, common words were encoded anew each time."""
+    monkeypatch.setattr(packed, "_REMEMBERED", 100)
+    encoder = packed.Encoder(open(VOCABULARY, encoding="utf-8").read(), "<u2")
+    learned = []
+    monkeypatch.setattr(encoder, "_learn_words", lambda words, learn=encoder._learn_words: (learned.extend(words), learn(words)))
+    for i in range(30):
+        texts = [f"the common words, and {' '.join(f'rare{i}x{j}' for j in range(20))} end."]
+        assert np.frombuffer(encoder(pa.array(texts))[0].as_buffer(), "<u2").tolist() == TOKENIZER.encode(texts[0], add_special_tokens=False).ids
+    assert [learned.count(word) for word in ("common", "words,", "and", "end.")] == [1] * 4 and learned.count("rare3x5") == 1
+    assert len(encoder.known) <= 130
+
+
+def test_tasks_of_a_worker_share_an_encoder():
+    """Before, every task read the vocabulary and learned the common words anew."""
+    vocabulary = open(VOCABULARY, encoding="utf-8").read()
+    assert packed.encoder_of(vocabulary, "<u2") is packed.encoder_of(str(vocabulary), "<u2")
+    assert packed.encoder_of(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read(), "<u2").cuts is False
+
+
 def test_only_plain_byte_level_files_are_cut():
     plain = open(VOCABULARY, encoding="utf-8").read()
     assert packed.cut_at_spaces(plain) and not packed.cut_at_spaces(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
