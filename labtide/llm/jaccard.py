@@ -45,10 +45,10 @@ SHINGLE = 5
 SHARE = 75  # per cent of the union
 #: Chance of missing a link between two sets exactly at the threshold.
 MISS = 1e-11
-#: Counters of tokens, those that travel together, and groups that tasks are summed in before all are.
+#: Counters of tokens, those that travel together, and tasks that are summed before all are.
 COUNTERS = 1 << 20
 COUNTER_BLOCK = 1 << 14
-COUNTER_PARTS = 64
+COUNTER_TASKS = 64
 #: The part of the documents a common token is in, and the least number.
 COMMON_SHARE = 0.001
 COMMON_LEAST = 10
@@ -129,37 +129,53 @@ def _counters(tokens: np.ndarray) -> np.ndarray:
     return ((tokens >> np.uint64(20)) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A block of counters: the place of each count as 16 bits, once for every one, or four bytes a counter if that is less."""
+    if counts.sum() < 2 * len(counts):
+        return np.repeat(np.arange(len(counts), dtype="<u2"), counts).tobytes()
+    return np.minimum(counts, (1 << 32) - 1).astype("<u4").tobytes()
+
+
+def unpacked_counts(data, block: int) -> np.ndarray:
+    """The counters of a block; four bytes a counter are the greatest length."""
+    if len(data) == 4 * block:
+        return np.frombuffer(data, "<u4").astype(np.int64)
+    return np.bincount(np.frombuffer(data, "<u2"), minlength=block)
+
+
 def common_counters(docs: DataFrame, shingle: int) -> np.ndarray:
     """Whether each counter's tokens are in a large part of all documents. They change the cost of the join, not its links."""
     least = max(COMMON_LEAST, COMMON_SHARE * docs.count())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         hashes, counts = WordHashes(), np.zeros(COUNTERS, np.int64)
         for batch in batches:
             found = [*token_sets(binary(batch["text"]), hashes, shingle)]
             if found:
                 counts += np.bincount(_counters(np.concatenate(found)), minlength=COUNTERS)
         if counts.any():
-            blocks, part = COUNTERS // COUNTER_BLOCK, int(counts.sum()) % COUNTER_PARTS
+            blocks, part = COUNTERS // COUNTER_BLOCK, TaskContext.get().partitionId() // COUNTER_TASKS
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, part, np.int32)),
-                    pa.array([x.tobytes() for x in counts.astype("<u4").reshape(blocks, -1)], pa.binary()),
+                    pa.array([packed_counts(x) for x in counts.reshape(blocks, -1)], pa.binary()),
                 ],
                 names=["block", "part", "counts"],
             )
 
-    def summed(group: pa.Table, kind: str) -> np.ndarray:
-        total = np.zeros(COUNTER_BLOCK, "<u8")
+    def summed(group: pa.Table) -> np.ndarray:
+        total = np.zeros(COUNTER_BLOCK, np.int64)
         for counts in group["counts"]:
-            total += np.frombuffer(counts.as_buffer(), kind)
+            total += unpacked_counts(counts.as_buffer(), COUNTER_BLOCK)
         return total
 
     def added(group: pa.Table) -> pa.Table:
-        return pa.table({"block": group["block"].slice(0, 1), "counts": pa.array([summed(group, "<u4").tobytes()], pa.binary())})
+        return pa.table({"block": group["block"].slice(0, 1), "counts": pa.array([packed_counts(summed(group))], pa.binary())})
 
     def marked(group: pa.Table) -> pa.Table:
-        total = summed(group, "<u8")
+        total = summed(group)
         # what many rare tokens together bring to each counter is no common token
         marks = total >= least + 2 * total.mean()
         return pa.table({"block": group["block"].slice(0, 1), "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})

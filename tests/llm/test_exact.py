@@ -61,6 +61,15 @@ def test_jaccard_join(docs):
     assert found == brute.near_duplicates(PAIRS)
 
 
+def test_counts_of_few_tokens_travel_as_few_bytes(docs):
+    """A task sends two bytes a token at most, never more than four a counter (the small parts of a table filled the disk)."""
+    r = np.random.default_rng(3)
+    for counts in (r.integers(0, 2, 512), r.integers(0, 9, 512), np.eye(1, 512, 5, np.int64)[0] * 1000, np.eye(1, 512, 5, np.int64)[0] * 70_000, np.ones(512, np.int64) * 2, np.zeros(512, np.int64)):
+        data = jaccard.packed_counts(counts)
+        assert len(data) <= min(2 * counts.sum(), 4 * 512)
+        assert jaccard.unpacked_counts(data, 512).tolist() == counts.tolist()
+
+
 def test_jaccard_join_in_many_blocks(docs, monkeypatch):
     """Without the star step's help: every pair comes from trees over several blocks."""
     monkeypatch.setattr(jaccard, "BLOCK", 4)
